@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelith.llm import decontamination, line_dedup, packing, pii, topk, toxicity, url_filter
+from cinelith.llm import decontamination, line_dedup, minhash, packing, pii, topk, toxicity, url_filter
 from cinelith.llm.shared import read
 
 
@@ -22,6 +22,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(read(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pii, op5_packing, op7_url_filter, op8_topk, op10_decontamination)
+    f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pii, op4_minhash, op5_packing, op7_url_filter, op8_topk, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op8_topk": topk.ORACLE}
