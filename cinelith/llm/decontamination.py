@@ -144,7 +144,7 @@ def find(docs: DataFrame, items: list[tuple[int, str]], chars_per_edit: int = CH
         for b in batches:
             hits = [
                 [dict(zip(("item_id", "start", "end", "distance"), h, strict=True)) for h in matcher.find(normalise(t))]
-                for t in map(pa.Scalar.as_py, b.column("text"))
+                for t in b.column("text").to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(hits, kind)], ["row", "hits"])
 

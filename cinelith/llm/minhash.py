@@ -13,10 +13,11 @@ shares no table with probability 7e-4, one with 0.85 with less than 1e-6.
    pivot; each member is confirmed, on full sets, against the pivots it shares
    most buckets with; components are merged.
 4. Exhaustive round: in buckets that still span components, all pairs across
-   components are compared by their 54-byte sketches (in blocks, in memory; the
-   cut at SKETCH_LEAST agreeing bytes is over five standard deviations below
-   the threshold) and the survivors confirmed on full sets.  A pair inside one
-   component needs no comparison, as it cannot change the components.
+   components are compared, each in the first table the two share, by sketches
+   of BINS bytes (a set's least hash in each of BINS ranges; the cut is DEVIATIONS
+   standard deviations below the threshold), in blocks and in memory.  What
+   passes is confirmed on full sets.  A pair inside one component needs no
+   comparison, as it cannot change the components.
 
 Scale: no group is collected: buckets are reduced by partial aggregates, large
 ones are dealt out in blocks of BLOCK members, and a pivot's members are spread
@@ -46,9 +47,10 @@ SHINGLE = 5
 PERCENT = 75
 COLLECTIONS = 18
 WIDTH = 3
-SKETCH_LEAST = 24
-STARS = 2
-PIVOTS = 2
+BINS = 512
+DEVIATIONS = 4.0
+STARS = 3
+PIVOTS = 4
 BLOCK = 256
 SALTS = 64
 _rng = np.random.default_rng(20240)
@@ -75,8 +77,22 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) ->
     return out
 
 
+_BIN = np.uint64(64 - (BINS - 1).bit_length())
+_EDGES = np.arange(BINS, dtype=np.uint64) << _BIN
+
+
+def bins(ordered: np.ndarray) -> bytes:
+    """A byte (1 to 255) of the least hash in each range of hashes, 0 where there is none."""
+    if not len(ordered):
+        return bytes(BINS)
+    at = np.searchsorted(ordered, _EDGES)
+    least = ordered[np.minimum(at, len(ordered) - 1)]
+    held = (at < len(ordered)) & (least >> _BIN == np.arange(BINS, dtype=np.uint64))
+    return np.where(held, least % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s1, s2, u array<bigint>, sketch binary): set size, set hash, collections."""
+    """(doc_id, n, s1, s2, u array<bigint>): set size, set hash, collections."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +101,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
                 s1, s2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
-                u, sketch = np.zeros((len(sets), COLLECTIONS), np.uint64), np.zeros((len(sets), COLLECTIONS * WIDTH), np.uint8)
+                u = np.zeros((len(sets), COLLECTIONS), np.uint64)
                 if len(full):
                     every = np.concatenate([sets[i] for i in full])
                     starts = np.cumsum(sizes[full]) - sizes[full]
@@ -93,32 +109,49 @@ def signatures(docs: DataFrame) -> DataFrame:
                     s2[full] = np.add.reduceat(mix(every ^ _XOR[0]), starts)
                     for k in range(COLLECTIONS * WIDTH):
                         least = np.minimum.reduceat((every ^ _XOR[k]) * _ODD[k], starts)
-                        sketch[full, k] = least >> np.uint64(11)
                         u[full, k // WIDTH] = mix(u[full, k // WIDTH] * _PLACE[15] + least)
                 flat = pa.array(u.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(lo, hi - lo), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COLLECTIONS), flat),
-                        pa.array([r.tobytes() for r in sketch], pa.binary()),
                     ],
-                    ["doc_id", "n", "s1", "s2", "u", "sketch"],
+                    ["doc_id", "n", "s1", "s2", "u"],
                 )
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(signed, "doc_id bigint, n bigint, s1 bigint, s2 bigint, u array<bigint>, sketch binary")
+    return slim.mapInArrow(signed, "doc_id bigint, n bigint, s1 bigint, s2 bigint, u array<bigint>")
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """(rep, n, sketch) from (id, text)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in slices(b.column("text")):
+                sets = shingle_sets(data, offsets)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array([bins(x) for x in sets], pa.binary())],
+                    ["rep", "n", "sketch"],
+                )
+
+    return texts.select("id", "text").mapInArrow(made, "rep bigint, n bigint, sketch binary")
 
 
 def table_members(reps: DataFrame) -> DataFrame:
-    """(key, rep) of every bucket with two members or more, from (rep, u)."""
+    """(key, t, rep) of every bucket with two members or more, from (rep, u).
+
+    t numbers the table: first collection times COLLECTIONS, plus the second.
+    """
     values = reps.select("rep", F.posexplode("u").alias("i", "value")).select("rep", "i", F.xxhash64("i", "value").alias("h"))
     values = materialize(values, "collections")
     shared = materialize(values.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     held = values.join(shared, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("c"))
     pairs = F.expr(
-        "flatten(transform(sequence(0, size(c) - 2), x -> transform(slice(c, x + 2, size(c)), y -> xxhash64(c[x].h, y.h))))"
+        "flatten(transform(sequence(0, size(c) - 2), x -> transform(slice(c, x + 2, size(c)), y -> "
+        f"named_struct('key', xxhash64(c[x].h, y.h), 't', c[x].i * {COLLECTIONS} + y.i))))"
     )
-    keys = materialize(held.where(F.size("c") > 1).select("rep", F.explode(pairs).alias("key")), "tables")
+    keys = materialize(held.where(F.size("c") > 1).select("rep", F.explode(pairs).alias("k")).select("rep", "k.*"), "tables")
     full = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "buckets")
     return materialize(keys.join(full, "key"), "members")
 
@@ -177,15 +210,23 @@ def star_pairs(members: DataFrame, comp: DataFrame, seed: int, pivots: int = PIV
     return met.withColumn("r", best).where(F.col("r") <= pivots).select("a", F.col("rep").alias("b"))
 
 
-def open_pairs(members: DataFrame, comp: DataFrame, sketches: DataFrame, least: int = SKETCH_LEAST, block: int = BLOCK) -> DataFrame:
-    """(a, b): all pairs of a bucket in different components whose sketches agree enough."""
+def open_pairs(members: DataFrame, comp: DataFrame, reps: DataFrame, texts: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs of a bucket in different components whose sketches agree enough.
+
+    reps: (rep, u); texts: (id, text).  The sketches' deviation is that of a
+    sample without replacement, as most of a short text's hashes are in its sketch.
+    """
     held = members.join(comp, "rep")
     spans = held.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     spans = materialize(spans.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "open")
-    rows = held.join(spans, "key").join(sketches, "rep")
+    rows = materialize(held.join(spans, "key"), "spanning")
+    who = materialize(rows.select("rep").distinct(), "spanning-reps")
+    sketches = materialize(sketched(texts.join(who.withColumnRenamed("rep", "id"), "id")).join(reps, "rep"), "sketches")
+    rows = rows.join(sketches, "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "comp", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "t", "rep", "comp", "n", "u", "sketch")
+    share = percent / 100
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -193,18 +234,26 @@ def open_pairs(members: DataFrame, comp: DataFrame, sketches: DataFrame, least:
         def close() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
                 return
-            own, rep, comp = (np.array([h[i] for h in held], np.int64) for i in range(3))
-            sketch = np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(len(held), -1)
+            own, t, rep, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(5))
+            u = np.array([h[5] for h in held], np.int64)
+            sketch = np.frombuffer(b"".join(h[6] for h in held), np.uint8).reshape(len(held), -1)
             for i in range(len(held) - 1):
-                agree = (sketch[i + 1 :] == sketch[i]).sum(1)
                 # a pair inside one block is met in the block's own group only
-                ok = np.flatnonzero((agree >= least) & (comp[i + 1 :] != comp[i]) & ((own[i + 1 :] != own[i]) | (group[1] == group[2])))
+                at = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((own[i + 1 :] != own[i]) | (group[1] == group[2])))
+                same = u[at] == u[i]
+                first = same.argmax(1)
+                same[np.arange(len(at)), first] = False
+                at = at[first * COLLECTIONS + same.argmax(1) == t[i]]
+                there = (sketch[at] | sketch[i]) != 0
+                filled = there.sum(1)
+                agree = ((sketch[at] == sketch[i]) & there).sum(1)
+                unseen = np.maximum(1 - filled * (1 + share) / (n[at] + n[i]), 0) + 0.02
+                ok = at[agree >= share * filled - DEVIATIONS * np.sqrt(share * (1 - share) * filled * unseen)]
                 if len(ok):
-                    lo, hi = np.minimum(rep[i], rep[i + 1 :][ok]), np.maximum(rep[i], rep[i + 1 :][ok])
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[ok])), pa.array(np.maximum(rep[i], rep[ok]))], ["a", "b"])
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("key", "x", "y", "own", "rep", "comp", "sketch")]
+            columns = [b.column(c).to_pylist() for c in ("key", "x", "y", "own", "t", "rep", "comp", "n", "u", "sketch")]
             for key, x, y, *rest in zip(*columns, strict=True):
                 if (key, x, y) != group:
                     yield from close()
@@ -213,7 +262,7 @@ def open_pairs(members: DataFrame, comp: DataFrame, sketches: DataFrame, least:
         yield from close()
 
     rows = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return rows.mapInArrow(compared, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(compared, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -221,8 +270,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sig = materialize(signatures(docs), "signatures")
     known = sig.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(
-        known.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "u", "sketch")).alias("m"), F.count("*").alias("copies"))
-        .select("s1", "s2", "n", F.col("m.doc_id").alias("rep"), "m.u", "m.sketch", "copies"),
+        known.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "u")).alias("m"), F.count("*").alias("copies"))
+        .select("s1", "s2", "n", F.col("m.doc_id").alias("rep"), "m.u", "copies"),
         "classes",
     )
     members = table_members(classes.select("rep", "u"))
@@ -231,8 +280,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comp = materialize(wanted.select(F.col("id").alias("rep"), F.col("id").alias("comp")), "components")
     for seed in range(STARS):
         comp = merged(comp, confirm(star_pairs(members, comp, seed), texts, percent))
-    sketches = classes.select("rep", "sketch").join(wanted.withColumnRenamed("id", "rep"), "rep")
-    comp = merged(comp, confirm(open_pairs(members, comp, sketches), texts, percent))
+    comp = merged(comp, confirm(open_pairs(members, comp, classes.select("rep", "u"), texts), texts, percent))
     # rows that repeat a doc_id with other texts are one document, so classes that share an id meet
     moved = comp.where("comp <> rep")
     copied = classes.where("copies > 1").select("s1", "s2", "n", "rep")
