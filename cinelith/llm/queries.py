@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelith.llm import decontamination, line_dedup, minhash, packing, pii, topk, toxicity, url_filter
+from cinelith.llm import decontamination, line_dedup, lm_scoring, minhash, packing, pii, topk, toxicity, url_filter
 from cinelith.llm.shared import read
 
 
@@ -30,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.digest(read(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.digest(read(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pii, op4_minhash, op5_packing, op7_url_filter, op8_topk, op10_decontamination)
+    f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pii, op4_minhash, op5_packing, op6_lm_scoring, op7_url_filter, op8_topk, op10_decontamination)
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op8_topk": topk.ORACLE}
