@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinelith.llm import decontamination, line_dedup, lm_scoring, minhash, packing, pii, topk, toxicity, url_filter
+from cinelith.llm import decontamination, line_dedup, lm_scoring, minhash, packing, pii, suffix_dedup, topk, toxicity, url_filter
 from cinelith.llm.shared import read
 
 
@@ -42,12 +42,17 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.digest(read(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_pii, op4_minhash, op5_packing, op6_lm_scoring, op7_url_filter, op8_topk, op10_decontamination)
-}
+_ALL = (
+    op1_toxicity, op2_line_dedup, op3_pii, op4_minhash, op5_packing, op6_lm_scoring, op7_url_filter, op8_topk, op9_suffix_dedup, op10_decontamination,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op8_topk": topk.ORACLE}
