@@ -86,10 +86,6 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[lo], value[anchor], anchor, lo, hi
 
 
-def _binary(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
-
-
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(rk, doc_id, text): rk is a hash of both, equal rows share it."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
@@ -122,9 +118,33 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield lo, lo + len(texts), np.frombuffer(b"".join(texts), np.uint8), offsets
 
 
+def _planes(a: np.ndarray, skip: int = 0) -> bytes:
+    """The bytes of a, all first bytes together and so on (such columns compress), without the lowest `skip`."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T[skip:]).tobytes()
+
+
+def _unplanes(raw: bytes, at: int, n: int, kind: type, skip: int = 0) -> tuple[np.ndarray, int]:
+    wide = np.dtype(kind).itemsize
+    table = np.zeros((n, wide), np.uint8)
+    table[:, skip:] = np.frombuffer(raw, np.uint8, n * (wide - skip), at).reshape(wide - skip, n).T
+    return table.view(kind).ravel(), at + n * (wide - skip)
+
+
+def _per_row(rk: np.ndarray, number: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(rk, list of numbers)."""
+    order = np.argsort(rk, kind="stable")
+    rk = rk[order]
+    starts = np.flatnonzero(np.append(True, rk[1:] != rk[:-1]))
+    return pa.array(rk[starts]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(rk)).astype(np.int32)), pa.array(number[order].astype(np.int32)))
+
+
 def shared_stretches(rows: DataFrame) -> DataFrame:
-    """(rk, picks array<int>): numbers of each row's stretches whose anchor gram occurs in two documents."""
-    buckets = 8 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """(rk, picks array<int>): numbers of each row's stretches whose anchor gram occurs in two documents.
+
+    Grams are told apart by their upper 48 bits; a chance meeting only adds a candidate.
+    """
+    buckets = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = ["bucket", "entries", "rk", "picks"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -133,32 +153,26 @@ def shared_stretches(rows: DataFrame) -> DataFrame:
             gram, doc, rk, number = (np.concatenate([h[i] for h in held]) for i in range(4))
             held.clear()
             order = np.argsort(gram, kind="stable")
-            gram, doc, rk, number = gram[order], doc[order], rk[order], number[order]
+            gram, doc, rk, number = gram[order], doc[order], rk[order], number[order].astype(np.int32)
             starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
             several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
             known = np.repeat(several, np.diff(starts, append=len(gram)))
-            yield from picked(rk[known], number[known])
-            # of grams of one document all places go on, of others one that stands for all
+            if known.any():
+                at, lists = _per_row(rk[known], number[known])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at), dtype=np.int32) % buckets), pa.nulls(len(at), pa.binary()), at, lists], names)
+            # of grams of one document all places go on, of others one (numbered -1) that stands for all
+            number[known] = -1
             keep = ~known
             keep[starts] = True
-            gram, doc, rk, number, known = gram[keep], doc[keep], rk[keep], number[keep], known[keep]
-            bucket = (gram % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(edges)):
-                at = order[edges[k] : edges[k + 1]]
-                entries = b"".join(map(_binary, (gram[at], doc[at], rk[at], number[at].astype(np.int32), known[at])))
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([entries]), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.int32()))], names)
-
-        def picked(rk: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(rk):
-                order = np.argsort(rk, kind="stable")
-                starts = np.flatnonzero(np.append(True, rk[order][1:] != rk[order][:-1]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rk)).astype(np.int32)), pa.array(number[order].astype(np.int32)))
-                n = len(starts)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(rk[order][starts]), lists], names)
-
-        names = ["bucket", "entries", "rk", "picks"]
+            gram, doc, rk, number = gram[keep], doc[keep], rk[keep], number[keep]
+            edges = np.searchsorted(gram, (np.arange(1, buckets) * (2**64 // buckets)).astype(np.uint64))
+            for k, at in enumerate(np.split(np.arange(len(gram)), edges)):
+                if len(at):
+                    who, row = np.unique(rk[at], return_index=True)
+                    place = np.searchsorted(who, rk[at]).astype(np.uint32)
+                    entries = np.int64([len(at), len(who)]).tobytes() + who.tobytes() + doc[at][row].tobytes() + _planes(gram[at], 2) + _planes(place) + _planes(number[at])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([entries]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], names)
+
         for b in batches:
             doc_ids, keys = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("rk").to_numpy()
             for lo, hi, data, offsets in slices(b.column("text")):
@@ -166,7 +180,7 @@ def shared_stretches(rows: DataFrame) -> DataFrame:
                 if not len(row):
                     continue
                 starts = np.searchsorted(row, np.arange(hi - lo))
-                held.append((gram, doc_ids[lo:hi][row].astype(np.int64), keys[lo:hi][row], np.arange(len(row)) - starts[row]))
+                held.append((gram & ~np.uint64(0xFFFF), doc_ids[lo:hi][row].astype(np.int64), keys[lo:hi][row], np.arange(len(row)) - starts[row]))
                 if sum(len(h[0]) for h in held) > _HOLD:
                     yield from emit()
         if held:
@@ -176,26 +190,30 @@ def shared_stretches(rows: DataFrame) -> DataFrame:
         bucket, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], []]
             for e in held:
-                n, at = len(e) // 29, 0
-                for c, kind in zip(columns, (np.uint64, np.int64, np.int64, np.int32, np.bool_), strict=True):
-                    c.append(np.frombuffer(e, kind, n, at))
-                    at += n * np.dtype(kind).itemsize
-            gram, doc, rk, number, known = map(np.concatenate, columns)
+                n, docs = np.frombuffer(e, np.int64, 2).tolist()
+                who, doc = np.frombuffer(e, np.int64, docs, 16), np.frombuffer(e, np.int64, docs, 16 + 8 * docs)
+                gram, at = _unplanes(e, 16 + 16 * docs, n, np.uint64, 2)
+                place, at = _unplanes(e, at, n, np.uint32)
+                number, _ = _unplanes(e, at, n, np.int32)
+                for c, found in zip(columns, (gram, doc[place], who[place], number), strict=True):
+                    c.append(found)
+            gram, doc, rk, number = map(np.concatenate, columns)
             order = np.argsort(gram, kind="stable")
-            gram, doc, rk, number, known = gram[order], doc[order], rk[order], number[order], known[order]
+            gram, doc, rk, number = gram[order], doc[order], rk[order], number[order]
             starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-            several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | np.logical_or.reduceat(known, starts)
-            out = np.flatnonzero(np.repeat(several, np.diff(starts, append=len(gram))) & ~known)
-            if len(out):
-                out = out[np.argsort(rk[out], kind="stable")]
-                starts = np.flatnonzero(np.append(True, rk[out][1:] != rk[out][:-1]))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(out)).astype(np.int32)), pa.array(number[out]))
-                yield pa.RecordBatch.from_arrays([pa.array(rk[out][starts]), lists], ["rk", "picks"])
+            several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | (np.minimum.reduceat(number, starts) < 0)
+            out = np.repeat(several, np.diff(starts, append=len(gram))) & (number >= 0)
+            if out.any():
+                yield pa.RecordBatch.from_arrays(_per_row(rk[out], number[out]), ["rk", "picks"])
 
         for b in batches:
+            mine = b.column("rk").is_valid()
+            yield pa.RecordBatch.from_arrays([b.column("rk").filter(mine), b.column("picks").filter(mine)], ["rk", "picks"])
             for k, entries in zip(b.column("bucket").to_pylist(), b.column("entries").to_pylist(), strict=True):
+                if entries is None:
+                    continue
                 if k != bucket:
                     if held:
                         yield from close()
@@ -205,9 +223,7 @@ def shared_stretches(rows: DataFrame) -> DataFrame:
             yield from close()
 
     known = rows.where("doc_id IS NOT NULL").mapInArrow(local, "bucket int, entries binary, rk bigint, picks array<int>")
-    known = materialize(known, "grams")
-    asked = known.where("bucket IS NOT NULL").select("bucket", "entries").repartition("bucket").sortWithinPartitions("bucket")
-    found = known.where("bucket IS NULL").select("rk", "picks").unionByName(asked.mapInArrow(decided, "rk bigint, picks array<int>"))
+    found = known.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decided, "rk bigint, picks array<int>")
     return found.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_list("picks"))).alias("picks"))
 
 
