@@ -206,7 +206,7 @@ def shared_stretches(rows: DataFrame) -> DataFrame:
             several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | (np.minimum.reduceat(number, starts) < 0)
             out = np.repeat(several, np.diff(starts, append=len(gram))) & (number >= 0)
             if out.any():
-                yield pa.RecordBatch.from_arrays(_per_row(rk[out], number[out]), ["rk", "picks"])
+                yield pa.RecordBatch.from_arrays(list(_per_row(rk[out], number[out])), ["rk", "picks"])
 
         for b in batches:
             mine = b.column("rk").is_valid()
