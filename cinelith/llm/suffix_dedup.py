@@ -7,7 +7,7 @@ input, so suffixes are first thinned without loss:
 1. Winnowing.  Every window of LENGTH bytes names the least hash among its
    GRAM-byte grams (the leftmost of equals) as its anchor.  Equal windows have equal anchors at equal
    places.  Consecutive windows with one anchor form a stretch, about one for
-   every 18 bytes.  Only stretches whose anchor gram occurs in two documents can
+   every 14 bytes.  Only stretches whose anchor gram occurs in two documents can
    repeat; tasks first find those among their own documents, and one entry a
    gram and task goes to the bucket that decides the rest.
 2. Stretches, written from their anchor on, are sorted in each task; equal ones
@@ -42,7 +42,7 @@ from cinelith.llm.shared import materialize, whole_text
 from cinelith.llm.text import mix, slices
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 SPAN = LENGTH - GRAM + 1  # grams in a window, and at most windows in a stretch
 WIDE = LENGTH + SPAN + 1  # a stretch's bytes, then where its left part begins, then its size
 SAMPLE = 256
@@ -51,12 +51,16 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """A 64-bit hash of the gram (a power of two) that starts at each byte."""
-    h, step, factor = mix(data.astype(np.uint64) + np.uint64(1)), 1, np.array([_BASE])
-    while step < gram:
-        h = h[: len(h) - step] + h[step:] * factor
-        step, factor = step * 2, factor * factor
-    return mix(h)
+    """A 64-bit hash of the gram that starts at each byte, put together from grams that are powers of two long."""
+    h, size, factor = mix(data.astype(np.uint64) + np.uint64(1)), 1, np.array([_BASE])
+    whole, held, shift = None, 0, np.array([1], np.uint64)
+    while size <= gram:
+        if gram & size:
+            whole = h if whole is None else whole[: len(data) - held - size + 1] + h[held:] * shift
+            held, shift = held + size, shift * factor
+        h = h[: max(len(h) - size, 0)] + h[size:] * factor
+        size, factor = size * 2, factor * factor
+    return mix(whole)
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
