@@ -17,8 +17,8 @@ input, so suffixes are first thinned without loss:
    never compares a byte of it again.  Equal stretches meet; all but the smallest
    doc_id are covered.
 3. Different stretches with one anchor gram stand next to each other in that
-   order.  Only they can share some of their windows, so their windows are sorted
-   and merged the same way.
+   order.  Only they can share some of their windows; those that agree on enough
+   bytes around the anchor have their windows sorted and merged the same way.
 
 Scale: a string common to a third of all documents is one entry per task in
 every exchange.  Texts travel compressed, twice.  Splitters come from at most
@@ -46,7 +46,7 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1  # grams in a window, and at most windows in a stretch
 WIDE = LENGTH + SPAN + 1  # a stretch's bytes, then where its left part begins, then its size
 SAMPLE = 256
-_HOLD = 2_000_000
+_HOLD = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -325,6 +325,35 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[int, int, bytes, int]]:
             node //= 2
 
 
+#: Up to how many different stretches of one anchor gram are compared in pairs.
+PAIRED = 64
+
+
+def related(cluster: list[tuple]) -> Iterator[tuple[bytes, list]]:
+    """Of different stretches with one anchor gram, in order: (stretch, entries) of
+    those that may share a window with another.
+
+    Two stretches that agree on r bytes from the anchor on and on l bytes before it
+    share a window only if r + l is at least LENGTH.  Clusters of over PAIRED
+    stretches are passed on whole.
+    """
+    if len(cluster) < 2:
+        return
+    if len(cluster) > PAIRED:
+        yield from ((string, mine) for string, _, mine in cluster)
+        return
+    lefts = [string[string[-2] : string[-1]] for string, _, _ in cluster]
+    wanted = set()
+    for i, (string, _, _) in enumerate(cluster):
+        right = string[-2]
+        for j in range(i + 1, len(cluster)):
+            right = min(right, cluster[j][1], cluster[j][0][-2])
+            need = LENGTH - right
+            if need <= 0 or (len(lefts[i]) >= need and lefts[i][-need:] == lefts[j][-need:]):
+                wanted |= {i, j}
+    yield from ((cluster[i][0], cluster[i][2]) for i in sorted(wanted))
+
+
 COVER = "rk bigint, start int, size int"
 
 
@@ -349,7 +378,7 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
         ends = reach[np.append(at[1:], len(rk)) - 1]
         n = len(at)
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(rk[at]), pa.array(start[at].astype(np.int32)), pa.array((ends - start[at]).astype(np.int32))], names
+            [pa.array(rk[at] % (len(splitters) + 1), pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(rk[at]), pa.array(start[at].astype(np.int32)), pa.array((ends - start[at]).astype(np.int32))], names
         )
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,8 +413,8 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
         if held:
             yield from emit()
 
-    runs = materialize(strings.mapInArrow(sorted_runs, "part int, run binary, entries binary, " + COVER), "runs")
-    dealt = runs.where("part IS NOT NULL").select("part", "run", "entries").repartition("part").sortWithinPartitions("part")
+    runs = strings.mapInArrow(sorted_runs, "part int, run binary, entries binary, " + COVER)
+    dealt = runs.repartition("part").sortWithinPartitions("part")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
@@ -394,19 +423,26 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
             about = [np.frombuffer(e, entry).tolist() for _, e in held]
             out: list[tuple] = []
             same: list[tuple] = []
+            cluster: list[tuple] = []  # of one group: (string, common prefix with the one before, entries of the smallest document)
             string, before = b"", 0
 
-            def settle(after: int) -> None:
+            def settle() -> None:
                 least = min(x[1] for x in same)
-                for rk, doc, start, size in same:
-                    if doc > least:
-                        out.append((rk, None, start, size, None))
-                    elif group and max(before, after) >= group:
-                        out.append((rk, doc, start, size, string))
+                mine = [x for x in same if x[1] == least]
+                out.extend((rk, None, start, size, None) for rk, doc, start, size in same if doc > least)
+                if group:
+                    if cluster and before < group:
+                        close_cluster()
+                    cluster.append((string, before, mine))
+
+            def close_cluster() -> None:
+                for kept, mine in related(cluster):
+                    out.extend((rk, doc, start, size, kept) for rk, doc, start, size in mine)
+                cluster.clear()
 
             for run, number, found, shared in merge_runs([Run(r, width) for r, _ in held]):
                 if same and shared < width:
-                    settle(shared)
+                    settle()
                     same, before = [], shared
                     if len(out) > 50_000:
                         yield rows(out)
@@ -414,7 +450,8 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
                 string = found
                 same.append(about[run][number])
             if same:
-                settle(0)
+                settle()
+            close_cluster()
             if out:
                 yield rows(out)
 
@@ -423,7 +460,13 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["rk", "doc_id", "start", "size", "string"])
 
         for b in batches:
+            mine = b.column("rk").is_valid()
+            rk, start, size = (b.column(c).filter(mine) for c in ("rk", "start", "size"))
+            n = len(rk)
+            yield pa.RecordBatch.from_arrays([rk, pa.nulls(n, pa.int64()), start, size, pa.nulls(n, pa.binary())], ["rk", "doc_id", "start", "size", "string"])
             for p, run, entries in zip(*(b.column(c).to_pylist() for c in ("part", "run", "entries")), strict=True):
+                if run is None:
+                    continue
                 if p != part:
                     if held:
                         yield from close()
@@ -433,8 +476,7 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
             yield from close()
 
     done = materialize(dealt.mapInArrow(merged, "rk bigint, doc_id bigint, start int, size int, string binary"), "merged")
-    own = runs.where("part IS NULL").select("rk", "start", "size")
-    return own.unionByName(done.where("string IS NULL").select("rk", "start", "size")), done.where("string IS NOT NULL").select("rk", "doc_id", "start", "string")
+    return done.where("string IS NULL").select("rk", "start", "size"), done.where("string IS NOT NULL").select("rk", "doc_id", "start", "string")
 
 
 def covered(rows: DataFrame, texts: DataFrame) -> DataFrame:
