@@ -4,6 +4,7 @@ A byte is removed if a string of LENGTH bytes that covers it also starts in a
 document with a smaller doc_id.  Sorting all suffixes would move many times the
 input, so suffixes are first thinned without loss:
 
+0. Texts that equal a smaller document's are covered whole.
 1. Winnowing.  Every window of LENGTH bytes names the least hash among its
    GRAM-byte grams (the leftmost of equals) as its anchor.  Equal windows have equal anchors at equal
    places.  Consecutive windows with one anchor form a stretch, about one for
@@ -17,8 +18,8 @@ input, so suffixes are first thinned without loss:
    never compares a byte of it again.  Equal stretches meet; all but the smallest
    doc_id are covered.
 3. Different stretches with one anchor gram stand next to each other in that
-   order.  Only they can share some of their windows; those that agree on enough
-   bytes around the anchor have their windows sorted and merged the same way.
+   order.  Only they can share some of their windows; the windows that end inside
+   what a stretch has in common with a neighbour are sorted and merged the same way.
 
 Scale: a string common to a third of all documents is one entry per task in
 every exchange.  Texts travel compressed, twice.  Splitters come from at most
@@ -46,13 +47,17 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1  # grams in a window, and at most windows in a stretch
 WIDE = LENGTH + SPAN + 1  # a stretch's bytes, then where its left part begins, then its size
 SAMPLE = 256
-_HOLD = 1_000_000
+_HOLD = 600_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_SPREAD, _HIGH = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFFFFFFFF00000000)
+
+
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A 64-bit hash of the gram that starts at each byte, put together from grams that are powers of two long."""
-    h, size, factor = mix(data.astype(np.uint64) + np.uint64(1)), 1, np.array([_BASE])
+    h, size, factor = _BYTE[data], 1, np.array([_BASE])
     whole, held, shift = None, 0, np.array([1], np.uint64)
     while size <= gram:
         if gram & size:
@@ -60,7 +65,7 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
             held, shift = held + size, shift * factor
         h = h[: max(len(h) - size, 0)] + h[size:] * factor
         size, factor = size * 2, factor * factor
-    return mix(whole)
+    return whole
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -69,14 +74,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return none, none.astype(np.uint64), none, none, none
     value = gram_hashes(data)
-    best, at = value, np.arange(len(value), dtype=np.int32)
+    # 32 bits of hash above 32 bits of place: the least of these is the leftmost least hash
+    best = (value * _SPREAD & _HIGH) | np.arange(len(value), dtype=np.uint64)
     size = 1
     while size < SPAN:
         step = min(size, SPAN - size)
-        left = best[: len(best) - step] <= best[step:]
-        at = np.where(left, at[: len(at) - step], at[step:])
-        best = np.where(left, best[: len(best) - step], best[step:])
+        best = np.minimum(best[: len(best) - step], best[step:])
         size += step
+    at = best.astype(np.uint32)
     n = len(best)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
     inside = np.arange(n) + LENGTH <= offsets[row + 1]
@@ -87,7 +92,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     last[:-1] &= (at[1:] != at[:-1]) | (row[1:] != row[:-1]) | ~inside[1:]
     hi = np.flatnonzero(last)
     anchor = at[lo].astype(np.int64)
-    return row[lo], value[anchor], anchor, lo, hi
+    return row[lo], mix(value[anchor]), anchor, lo, hi
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -115,9 +120,9 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     import zstandard
 
     tool = zstandard.ZstdDecompressor()
-    packed = b.column("z").to_pylist()
+    packed = b.column("z")
     for lo in range(0, len(packed), 64):
-        texts = [tool.decompress(z) for z in packed[lo : lo + 64]]
+        texts = [tool.decompress(z) for z in packed.slice(lo, 64).to_pylist()]
         offsets = np.append(0, np.cumsum([len(t) for t in texts]))
         yield lo, lo + len(texts), np.frombuffer(b"".join(texts), np.uint8), offsets
 
@@ -325,45 +330,33 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[int, int, bytes, int]]:
             node //= 2
 
 
-#: Up to how many different stretches of one anchor gram are compared in pairs.
-PAIRED = 64
-
-
-def related(cluster: list[tuple]) -> Iterator[tuple[bytes, list]]:
-    """Of different stretches with one anchor gram, in order: (stretch, entries) of
-    those that may share a window with another.
+def related(cluster: list[tuple]) -> Iterator[tuple[bytes, int, list]]:
+    """Of different stretches with one anchor gram, in order: (stretch, windows, entries)
+    of those that may share one of their first `windows` windows with another.
 
-    Two stretches that agree on r bytes from the anchor on and on l bytes before it
-    share a window only if r + l is at least LENGTH.  Clusters of over PAIRED
-    stretches are passed on whole.
+    A window that starts j bytes before the anchor is shared only with a stretch
+    that agrees on LENGTH - j bytes from the anchor on; in sorted order the longest
+    such agreement is with a neighbour.
     """
-    if len(cluster) < 2:
-        return
-    if len(cluster) > PAIRED:
-        yield from ((string, mine) for string, _, mine in cluster)
-        return
-    lefts = [string[string[-2] : string[-1]] for string, _, _ in cluster]
-    wanted = set()
-    for i, (string, _, _) in enumerate(cluster):
-        right = string[-2]
-        for j in range(i + 1, len(cluster)):
-            right = min(right, cluster[j][1], cluster[j][0][-2])
-            need = LENGTH - right
-            if need <= 0 or (len(lefts[i]) >= need and lefts[i][-need:] == lefts[j][-need:]):
-                wanted |= {i, j}
-    yield from ((cluster[i][0], cluster[i][2]) for i in sorted(wanted))
+    for i, (string, before, mine) in enumerate(cluster):
+        after = cluster[i + 1][1] if i + 1 < len(cluster) else 0
+        right, size = string[-2], string[-1]
+        agreed = min(right, max(before if i else 0, after))
+        windows = min((size - right) - (LENGTH - agreed) + 1, size - LENGTH + 1)
+        if windows > 0:
+            yield string, windows, mine
 
 
 COVER = "rk bigint, start int, size int"
 
 
 def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, head: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(covers COVER, neighbours (rk, doc_id, start, string)) of a distributed sort.
+    """(covers COVER, neighbours (rk, doc_id, start, size, string)) of a distributed sort.
 
     make(batches) yields (strings as rows of width bytes, rk, doc_id, start, size)
     arrays.  Ranges are cut at splitters, on the first head bytes.  Neighbours are
-    the smallest documents' entries of different strings that share their first
-    `group` bytes (none if group is 0).
+    the smallest documents' entries of strings that may share windows with others
+    of the same first `group` bytes; size counts those windows (none if group is 0).
     """
     entry = np.dtype([("rk", np.int64), ("doc", np.int64), ("start", np.int32), ("size", np.int32)])
     names = ["part", "run", "entries", "rk", "start", "size"]
@@ -436,8 +429,8 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
                     cluster.append((string, before, mine))
 
             def close_cluster() -> None:
-                for kept, mine in related(cluster):
-                    out.extend((rk, doc, start, size, kept) for rk, doc, start, size in mine)
+                for kept, windows, mine in related(cluster):
+                    out.extend((rk, doc, start, windows, kept) for rk, doc, start, _ in mine)
                 cluster.clear()
 
             for run, number, found, shared in merge_runs([Run(r, width) for r, _ in held]):
@@ -476,7 +469,7 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
             yield from close()
 
     done = materialize(dealt.mapInArrow(merged, "rk bigint, doc_id bigint, start int, size int, string binary"), "merged")
-    return done.where("string IS NULL").select("rk", "start", "size"), done.where("string IS NOT NULL").select("rk", "doc_id", "start", "string")
+    return done.where("string IS NULL").select("rk", "start", "size"), done.where("string IS NOT NULL")
 
 
 def covered(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -500,21 +493,22 @@ def covered(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
     def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            keys, doc_ids, picks = b.column("rk").to_numpy(), b.column("doc_id").to_numpy(), b.column("picks").to_pylist()
+            keys, doc_ids = b.column("rk").to_numpy(), b.column("doc_id").to_numpy()
+            picks = [x.to_numpy() for x in map(b.column("picks").slice, range(b.num_rows), [1] * b.num_rows) for x in (x.flatten(),)]
             for first, end, data, offsets in _texts(b):
                 row, _, anchor, lo, hi = stretches(data, offsets)
                 starts = np.searchsorted(row, np.arange(end - first))
-                wanted = np.concatenate([np.array(picks[first + i], np.int64) + starts[i] for i in range(end - first)] or [np.zeros(0, np.int64)])
+                wanted = np.concatenate([picks[first + i] + starts[i] for i in range(end - first)] or [np.zeros(0, np.int64)])
                 row, anchor, lo, hi = row[wanted], anchor[wanted], lo[wanted], hi[wanted]
                 yield stretch_strings(data, anchor, lo, hi), keys[first + row], doc_ids[first + row], lo - offsets[row], hi + LENGTH - lo
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            keys, doc_ids, starts = (b.column(c).to_numpy() for c in ("rk", "doc_id", "start"))
+            keys, doc_ids, starts, n = (b.column(c).to_numpy() for c in ("rk", "doc_id", "start", "size"))
+            n = n.astype(np.int64)
             strings = [unrotated(s) for s in b.column("string").to_pylist()]
             data = np.frombuffer(b"".join(strings), np.uint8)
             sizes = np.array([len(s) for s in strings])
-            n = sizes - LENGTH + 1
             owner = np.repeat(np.arange(len(strings)), n)
             inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             at = (np.cumsum(sizes) - sizes)[owner] + inner
@@ -525,10 +519,17 @@ def covered(rows: DataFrame, texts: DataFrame) -> DataFrame:
                 table[:, :-1] = data[at[part][:, None] + np.arange(LENGTH)]
                 yield table, keys[owner[part]], doc_ids[owner[part]], starts[owner[part]] + inner[part], np.full(len(table), LENGTH)
 
-    joined = texts.where("doc_id IS NOT NULL").join(shared_stretches(rows), "rk")
+    # a whole copy of a smaller document's text is covered as it is
+    slim = known.select("rk", "doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    slim = materialize(slim.where(F.col("size") >= LENGTH), "texts")
+    least = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    least = materialize(least, "copied")
+    copies = materialize(slim.join(least, ["h1", "h2"]).where("doc_id > least").select("rk", F.lit(0).alias("start"), "size"), "copies")
+    picks = shared_stretches(rows).join(copies.select("rk").distinct(), "rk", "left_anti")
+    joined = texts.where("doc_id IS NOT NULL").join(picks, "rk")
     whole, near = merge_sorted(joined, stretch_rows, WIDE, splitters, GRAM, GRAM)
     windows, _ = merge_sorted(near, window_rows, LENGTH + 1, splitters, GRAM, 0)
-    return whole.unionByName(windows)
+    return whole.unionByName(windows).unionByName(copies)
 
 
 def cut(docs: DataFrame) -> DataFrame:
