@@ -525,8 +525,7 @@ def covered(rows: DataFrame, texts: DataFrame) -> DataFrame:
     least = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     least = materialize(least, "copied")
     copies = materialize(slim.join(least, ["h1", "h2"]).where("doc_id > least").select("rk", F.lit(0).alias("start"), "size"), "copies")
-    picks = shared_stretches(rows).join(copies.select("rk").distinct(), "rk", "left_anti")
-    joined = texts.where("doc_id IS NOT NULL").join(picks, "rk")
+    joined = texts.where("doc_id IS NOT NULL").join(copies.select("rk").distinct(), "rk", "left_anti").join(shared_stretches(rows), "rk")
     whole, near = merge_sorted(joined, stretch_rows, WIDE, splitters, GRAM, GRAM)
     windows, _ = merge_sorted(near, window_rows, LENGTH + 1, splitters, GRAM, 0)
     return whole.unionByName(windows).unionByName(copies)
