@@ -54,7 +54,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
         F.min(F.struct("doc_id", "pos")).alias("first"),
     )
     keys = heads.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= min_docs)
-    hits = found.join(keys.select("h1", "h2", "first"), ["h1", "h2"])
+    # written, so that its size is known before the join and a hot key's side can be split
+    hits = found.join(materialize(keys.select("h1", "h2", "first"), "repeated"), ["h1", "h2"])
     if keep_first:
         hits = hits.where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
     words = hits.groupBy("rk1", "rk2", F.shiftright("pos", 6).alias("word")).agg(
