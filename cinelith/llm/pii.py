@@ -135,7 +135,7 @@ def detect(docs: DataFrame, generalise: float = 0.8, support: int = SUPPORT) ->
         "entity", "term",
         F.when(information > 0, F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / information).otherwise(0.0).alias("disclosure"),
     ).where(F.col("disclosure") >= generalise)
-    terms = seen.join(scored, ["entity", "term"]).groupBy("rk1", "rk2", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    terms = seen.join(materialize(scored, "disclosing"), ["entity", "term"]).groupBy("rk1", "rk2", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     spans = F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure"))).alias("terms")
     return marked.select("rk1", "rk2", "doc_id", "base").join(terms.groupBy("rk1", "rk2").agg(spans), ["rk1", "rk2"], "left")
 
