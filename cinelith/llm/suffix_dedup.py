@@ -347,6 +347,25 @@ def related(cluster: list[tuple]) -> Iterator[tuple[bytes, int, list]]:
             yield string, windows, mine
 
 
+ENTRY = np.dtype([("rk", np.int64), ("doc", np.int64), ("start", np.int32), ("size", np.int32)])
+
+
+def packed_entries(about: np.ndarray) -> bytes:
+    """Entries with each row's rk and doc written once, the rest as byte planes."""
+    who, first, place = np.unique(about["rk"], return_index=True, return_inverse=True)
+    fixed = np.int64([len(about), len(who)]).tobytes() + who.tobytes() + np.ascontiguousarray(about["doc"][first]).tobytes()
+    return fixed + b"".join(_planes(np.ascontiguousarray(a)) for a in (place.astype(np.uint32), about["start"], about["size"]))
+
+
+def unpacked_entries(raw: bytes) -> list[tuple]:
+    n, docs = np.frombuffer(raw, np.int64, 2).tolist()
+    who, doc = np.frombuffer(raw, np.int64, docs, 16), np.frombuffer(raw, np.int64, docs, 16 + 8 * docs)
+    place, at = _unplanes(raw, 16 + 16 * docs, n, np.uint32)
+    start, at = _unplanes(raw, at, n, np.int32)
+    size, _ = _unplanes(raw, at, n, np.int32)
+    return list(zip(who[place].tolist(), doc[place].tolist(), start.tolist(), size.tolist(), strict=True))
+
+
 COVER = "rk bigint, start int, size int"
 
 
@@ -358,7 +377,6 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
     the smallest documents' entries of strings that may share windows with others
     of the same first `group` bytes; size counts those windows (none if group is 0).
     """
-    entry = np.dtype([("rk", np.int64), ("doc", np.int64), ("start", np.int32), ("size", np.int32)])
     names = ["part", "run", "entries", "rk", "start", "size"]
 
     def covers(rk: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
@@ -379,8 +397,8 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
 
         def emit() -> Iterator[pa.RecordBatch]:
             table = np.concatenate([h[0] for h in held])
-            about = np.zeros(len(table), entry)
-            for i, name in enumerate(entry.names):
+            about = np.zeros(len(table), ENTRY)
+            for i, name in enumerate(ENTRY.names):
                 about[name] = np.concatenate([h[i + 1] for h in held])
             held.clear()
             order = np.lexsort((about["doc"], table.view(f"S{width}").ravel()))
@@ -396,7 +414,7 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
             for p in np.flatnonzero(np.diff(edges)):
                 at = slice(edges[p], edges[p + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(p)], pa.int32()), pa.array([front_coded(table[at])]), pa.array([about[at].tobytes()]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], names
+                    [pa.array([int(p)], pa.int32()), pa.array([front_coded(table[at])]), pa.array([packed_entries(about[at])]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], names
                 )
 
         for made in make(batches):
@@ -413,7 +431,7 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
         part, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            about = [np.frombuffer(e, entry).tolist() for _, e in held]
+            about = [unpacked_entries(e) for _, e in held]
             out: list[tuple] = []
             same: list[tuple] = []
             cluster: list[tuple] = []  # of one group: (string, common prefix with the one before, entries of the smallest document)
