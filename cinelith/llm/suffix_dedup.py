@@ -486,7 +486,7 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
         if held:
             yield from close()
 
-    done = materialize(dealt.mapInArrow(merged, "rk bigint, doc_id bigint, start int, size int, string binary"), "merged")
+    done = materialize(dealt.mapInArrow(merged, "rk bigint, doc_id bigint, start int, size int, string binary"), "merged", free=True)
     return done.where("string IS NULL").select("rk", "start", "size"), done.where("string IS NOT NULL")
 
 
