@@ -1,7 +1,5 @@
 """Movie files in, PPM frames and expanded movies out."""
 
-from __future__ import annotations
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
