@@ -147,9 +147,11 @@ def _per_row(rk: np.ndarray, number: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(rk[starts]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(rk)).astype(np.int32)), pa.array(number[order].astype(np.int32)))
 
 
-def shared_stretches(rows: DataFrame) -> DataFrame:
+def shared_stretches(rows: DataFrame, copies: DataFrame) -> DataFrame:
     """(rk, picks array<int>): numbers of each row's stretches whose anchor gram occurs in two documents.
 
+    Rows whose rk is in copies are left out; they meet their picks in the group-by,
+    so that the texts need no join of their own with copies.
     Grams are told apart by their upper 48 bits; a chance meeting only adds a candidate.
     """
     buckets = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -233,7 +235,9 @@ def shared_stretches(rows: DataFrame) -> DataFrame:
 
     known = rows.where("doc_id IS NOT NULL").mapInArrow(local, "bucket int, entries binary, rk bigint, picks array<int>")
     found = known.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decided, "rk bigint, picks array<int>")
-    return found.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_list("picks"))).alias("picks"))
+    found = found.withColumn("copy", F.lit(0)).unionByName(copies.select("rk", F.array().cast("array<int>").alias("picks"), F.lit(1).alias("copy")))
+    picks = found.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_list("picks"))).alias("picks"), F.max("copy").alias("copy"))
+    return picks.where("copy = 0").drop("copy")
 
 
 def stretch_strings(data: np.ndarray, anchor: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -543,7 +547,7 @@ def covered(rows: DataFrame, texts: DataFrame) -> DataFrame:
     least = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     least = materialize(least, "copied")
     copies = materialize(slim.join(least, ["h1", "h2"]).where("doc_id > least").select("rk", F.lit(0).alias("start"), "size"), "copies")
-    joined = texts.where("doc_id IS NOT NULL").join(copies.select("rk").distinct(), "rk", "left_anti").join(shared_stretches(rows), "rk")
+    joined = texts.where("doc_id IS NOT NULL").join(shared_stretches(rows, copies), "rk")
     whole, near = merge_sorted(joined, stretch_rows, WIDE, splitters, GRAM, GRAM)
     windows, _ = merge_sorted(near, window_rows, LENGTH + 1, splitters, GRAM, 0)
     return whole.unionByName(windows).unionByName(copies)
