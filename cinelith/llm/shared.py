@@ -7,7 +7,6 @@ Nothing in this module depends on the size of the input.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -30,21 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+#: Spark then removes a job's shuffle files as it ends, instead of when the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a recomputation.
-    The files are removed when the driver's Python ends.  free asks the driver to
-    collect its garbage, upon which Spark removes the shuffle files of finished
-    jobs; worth it after a job that moved much.
+    The job's shuffle files go as it ends, the written ones when the driver's
+    Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
