@@ -150,8 +150,7 @@ def _per_row(rk: np.ndarray, number: np.ndarray) -> tuple[pa.Array, pa.Array]:
 def shared_stretches(rows: DataFrame, copies: DataFrame) -> DataFrame:
     """(rk, picks array<int>): numbers of each row's stretches whose anchor gram occurs in two documents.
 
-    Rows whose rk is in copies are left out; they meet their picks in the group-by,
-    so that the texts need no join of their own with copies.
+    Rows whose rk is in copies are left out.
     Grams are told apart by their upper 48 bits; a chance meeting only adds a candidate.
     """
     buckets = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -216,12 +215,24 @@ def shared_stretches(rows: DataFrame, copies: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
             several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | (np.minimum.reduceat(number, starts) < 0)
             out = np.repeat(several, np.diff(starts, append=len(gram))) & (number >= 0)
-            if out.any():
-                yield pa.RecordBatch.from_arrays(list(_per_row(rk[out], number[out])), ["rk", "picks"])
+            yield from directed(rk[out], number[out])
+
+        def directed(rk: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Picks by where their row will gather them: a row for each target."""
+            target = rk % buckets
+            order = np.argsort(target, kind="stable")
+            edges = np.searchsorted(target[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(edges)):
+                at = order[edges[k] : edges[k + 1]]
+                who, place = np.unique(rk[at], return_inverse=True)
+                raw = np.int64([len(at), len(who)]).tobytes() + who.tobytes() + _planes(place.astype(np.uint32)) + _planes(number[at])
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([raw])], ["target", "raw"])
 
         for b in batches:
             mine = b.column("rk").is_valid()
-            yield pa.RecordBatch.from_arrays([b.column("rk").filter(mine), b.column("picks").filter(mine)], ["rk", "picks"])
+            lists = b.column("picks").filter(mine)
+            if len(lists):
+                yield from directed(np.repeat(b.column("rk").filter(mine).to_numpy(), lists.value_lengths().to_numpy()), lists.flatten().to_numpy())
             for k, entries in zip(b.column("bucket").to_pylist(), b.column("entries").to_pylist(), strict=True):
                 if entries is None:
                     continue
@@ -233,11 +244,33 @@ def shared_stretches(rows: DataFrame, copies: DataFrame) -> DataFrame:
         if held:
             yield from close()
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rk, number = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((number, rk))
+            rk, number = rk[order], number[order]
+            fresh = np.append(True, (rk[1:] != rk[:-1]) | (number[1:] != number[:-1]))
+            yield pa.RecordBatch.from_arrays(list(_per_row(rk[fresh], number[fresh])), ["rk", "picks"])
+
+        for b in batches:
+            for k, raw in zip(b.column("target").to_pylist(), b.column("raw").to_pylist(), strict=True):
+                if k != target:
+                    if held:
+                        yield from close()
+                    target, held = k, []
+                n, docs = np.frombuffer(raw, np.int64, 2).tolist()
+                place, at = _unplanes(raw, 16 + 8 * docs, n, np.uint32)
+                number, _ = _unplanes(raw, at, n, np.int32)
+                held.append((np.frombuffer(raw, np.int64, docs, 16)[place], number))
+        if held:
+            yield from close()
+
     known = rows.where("doc_id IS NOT NULL").mapInArrow(local, "bucket int, entries binary, rk bigint, picks array<int>")
-    found = known.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decided, "rk bigint, picks array<int>")
-    found = found.withColumn("copy", F.lit(0)).unionByName(copies.select("rk", F.array().cast("array<int>").alias("picks"), F.lit(1).alias("copy")))
-    picks = found.groupBy("rk").agg(F.array_distinct(F.flatten(F.collect_list("picks"))).alias("picks"), F.max("copy").alias("copy"))
-    return picks.where("copy = 0").drop("copy")
+    sent = known.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(decided, "target int, raw binary")
+    picks = sent.repartition("target").sortWithinPartitions("target").mapInArrow(gathered, "rk bigint, picks array<int>")
+    return picks.join(copies.select("rk").distinct(), "rk", "left_anti")
 
 
 def stretch_strings(data: np.ndarray, anchor: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
