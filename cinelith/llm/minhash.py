@@ -15,13 +15,14 @@ shares no table with probability 7e-4, one with 0.85 with less than 1e-6.
 4. Exhaustive round: in buckets that still span components, all pairs across
    components are compared, each in the first table the two share, by sketches
    of BINS bytes (a set's least hash in each of BINS ranges; the cut is DEVIATIONS
-   standard deviations below the threshold), in blocks and in memory.  What
-   passes is confirmed on full sets.  A pair inside one component needs no
-   comparison, as it cannot change the components.
+   standard deviations below the threshold), in memory.  What passes is
+   confirmed on full sets.  A pair inside one component needs no comparison, as
+   it cannot change the components: only the members outside a bucket's largest
+   component are held, in blocks of BLOCK, and the others stream past them.
 
 Scale: no group is collected: buckets are reduced by partial aggregates, large
-ones are dealt out in blocks of BLOCK members, and a pivot's members are spread
-over SALTS groups that stream past the pivot's set.
+ones are dealt out in blocks of BLOCK members and strands of STRAND, and a
+pivot's members are spread over SALTS groups that stream past the pivot's set.
 
 Defined cases: without words or text a set is empty, linked with nothing, and
 the document its own component; with one to four words the whole sequence is
@@ -51,7 +52,8 @@ BINS = 512
 DEVIATIONS = 4.0
 STARS = 3
 PIVOTS = 4
-BLOCK = 256
+BLOCK = 1024
+STRAND = 8192
 SALTS = 64
 _rng = np.random.default_rng(20240)
 _XOR, _ODD = _rng.integers(0, 2**63, (2, COLLECTIONS * WIDTH)).astype(np.uint64)
@@ -210,58 +212,64 @@ def star_pairs(members: DataFrame, comp: DataFrame, seed: int, pivots: int = PIV
     return met.withColumn("r", best).where(F.col("r") <= pivots).select("a", F.col("rep").alias("b"))
 
 
-def open_pairs(members: DataFrame, comp: DataFrame, reps: DataFrame, texts: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def open_pairs(members: DataFrame, comp: DataFrame, reps: DataFrame, texts: DataFrame, percent: int = PERCENT, block: int = BLOCK, strand: int = STRAND) -> DataFrame:
     """(a, b): all pairs of a bucket in different components whose sketches agree enough.
 
     reps: (rep, u); texts: (id, text).  The sketches' deviation is that of a
     sample without replacement, as most of a short text's hashes are in its sketch.
     """
     held = members.join(comp, "rep")
-    spans = held.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    spans = materialize(spans.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "open")
+    sizes = held.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    spans = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    parts, strands = F.ceil((F.col("all") - F.col("top.c")) / block).cast("int"), F.ceil(F.col("all") / strand).cast("int")
+    spans = materialize(spans.select("key", F.col("top.comp").alias("top"), parts.alias("parts"), strands.alias("strands")), "open")
     rows = materialize(held.join(spans, "key"), "spanning")
     who = materialize(rows.select("rep").distinct(), "spanning-reps")
     sketches = materialize(sketched(texts.join(who.withColumnRenamed("rep", "id"), "id")).join(reps, "rep"), "sketches")
     rows = rows.join(sketches, "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "t", "rep", "comp", "n", "u", "sketch")
+    # a member outside the largest component is held in its block, in every strand, and streams past the
+    # later blocks; one inside it streams past all blocks; with one block and strand each row goes once
+    own = F.when(F.col("comp") == F.col("top"), -1).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    lane = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("strands")).cast("int")
+    places = F.expr(
+        "concat(IF(own < 0, array(), transform(sequence(0, strands - 1), s -> named_struct('x', own, 'y', s, 'side', 0))), "
+        "transform(filter(sequence(0, parts - 1), p -> p > own), p -> named_struct('x', p, 'y', lane, 'side', 1)))"
+    )
+    dealt = rows.withColumns({"own": own, "lane": lane}).withColumn("place", F.explode(places))
+    dealt = dealt.select("key", "place.x", "place.y", "place.side", "t", "rep", "comp", "n", "u", "sketch")
     share = percent / 100
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2:
-                return
-            own, t, rep, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(5))
-            u = np.array([h[5] for h in held], np.int64)
-            sketch = np.frombuffer(b"".join(h[6] for h in held), np.uint8).reshape(len(held), -1)
-            for i in range(len(held) - 1):
-                # a pair inside one block is met in the block's own group only
-                at = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((own[i + 1 :] != own[i]) | (group[1] == group[2])))
-                same = u[at] == u[i]
-                first = same.argmax(1)
-                same[np.arange(len(at)), first] = False
-                at = at[first * COLLECTIONS + same.argmax(1) == t[i]]
-                there = (sketch[at] | sketch[i]) != 0
-                filled = there.sum(1)
-                agree = ((sketch[at] == sketch[i]) & there).sum(1)
-                unseen = np.maximum(1 - filled * (1 + share) / (n[at] + n[i]), 0) + 0.02
-                ok = at[agree >= share * filled - DEVIATIONS * np.sqrt(share * (1 - share) * filled * unseen)]
-                if len(ok):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[ok])), pa.array(np.maximum(rep[i], rep[ok]))], ["a", "b"])
-
+        group, size = None, 0
+        rep, comp, n = np.zeros((3, 64), np.int64)
+        u, sketch = np.zeros((64, COLLECTIONS), np.int64), np.zeros((64, BINS), np.uint8)
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("key", "x", "y", "own", "t", "rep", "comp", "n", "u", "sketch")]
-            for key, x, y, *rest in zip(*columns, strict=True):
+            columns = [b.column(c).to_pylist() for c in ("key", "x", "y", "side", "t", "rep", "comp", "n", "u", "sketch")]
+            for key, x, y, side, table, one, its, count, values, drawn in zip(*columns, strict=True):
                 if (key, x, y) != group:
-                    yield from close()
-                    group, held = (key, x, y), []
-                held.append(rest)
-        yield from close()
-
-    rows = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+                    group, size = (key, x, y), 0
+                values, drawn = np.array(values, np.int64), np.frombuffer(drawn, np.uint8)
+                # two members of one block are compared in its first strand only
+                if side or not y:
+                    at = np.flatnonzero(comp[:size] != its)
+                    same = u[at] == values
+                    first = same.argmax(1)
+                    same[np.arange(len(at)), first] = False
+                    at = at[first * COLLECTIONS + same.argmax(1) == table]
+                    there = (sketch[at] | drawn) != 0
+                    filled = there.sum(1)
+                    agree = ((sketch[at] == drawn) & there).sum(1)
+                    unseen = np.maximum(1 - filled * (1 + share) / (n[at] + count), 0) + 0.02
+                    ok = at[agree >= share * filled - DEVIATIONS * np.sqrt(share * (1 - share) * filled * unseen)]
+                    if len(ok):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, rep[ok])), pa.array(np.maximum(one, rep[ok]))], ["a", "b"])
+                if not side:
+                    if size == len(rep):
+                        rep, comp, n, u, sketch = (np.concatenate([z, np.zeros_like(z)]) for z in (rep, comp, n, u, sketch))
+                    rep[size], comp[size], n[size], u[size], sketch[size] = one, its, count, values, drawn
+                    size += 1
+
+    rows = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
     return rows.mapInArrow(compared, "a bigint, b bigint")
 
 

@@ -75,6 +75,23 @@ def test_minhash(spark):
     assert {50}.isdisjoint(r.doc_id for r in minhash.drop_near_duplicates(docs).where("doc_id in (51, 52)").collect())
 
 
+def test_minhash_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 10**6, 120)
+    texts = []
+    for i in range(40):
+        w = base.copy()
+        w[rng.choice(120, 4, replace=False)] = rng.integers(0, 10**6, 4)
+        texts.append((i, " ".join(map(str, w))))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    reps = minhash.signatures(docs).selectExpr("doc_id AS rep", "u")
+    comp = reps.selectExpr("rep", "IF(rep % 3 = 0, 0, rep) AS comp")
+    members, full = minhash.table_members(reps), docs.withColumnRenamed("doc_id", "id")
+    one, two = (Counter(tuple(r) for r in minhash.open_pairs(members, comp, reps, full, block=b, strand=s).collect()) for b, s in ((1024, 8192), (4, 5)))
+    assert one == two and len(one) > 50 and max(one.values()) == 1
+    assert not any(a % 3 == 0 and b % 3 == 0 for a, b in one)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
