@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinelith.functions.codecs import ima, ima_stereo, westwood
@@ -81,3 +81,28 @@ def soundtracks(audio: DataFrame, most: int = MOST_SAMPLES) -> DataFrame:
 def frame_at(seconds, frame_rate):
     """The frame shown at a time."""
     return F.floor(seconds * F.greatest(frame_rate, F.lit(1))).cast("int")
+
+
+def resampled(samples: DataFrame, source: int, target: int) -> DataFrame:
+    """movie_id, sample_no, left, right at another rate, linear, cut toward zero.
+
+    Every sample yields the places that fall between it and its successor, so
+    no join is needed; sample_no counts from 0 without gaps.
+    """
+    order = Window.partitionBy("movie_id").orderBy("sample_no")
+    near = samples.withColumns(
+        {
+            "next_left": F.lead("left").over(order), "next_right": F.lead("right").over(order),
+            "n": F.count("*").over(Window.partitionBy("movie_id")),
+        }
+    )
+    low = F.expr(f"(sample_no * {target} + {source - 1}) div {source}")
+    high = F.expr(f"least(((sample_no + 1) * {target} + {source - 1}) div {source}, n * {target} div {source}) - 1")
+    places = F.when(low <= high, F.sequence(low, high))
+    out = near.withColumn("at", F.explode(places))
+    part = F.col("at") * F.lit(float(source)) / F.lit(float(target)) - F.col("sample_no")
+
+    def between(a: str, b: str):
+        return (F.col(a) + (F.coalesce(b, a) - F.col(a)) * part).cast("bigint").alias(a)
+
+    return out.select("movie_id", F.col("at").alias("sample_no"), between("left", "next_left"), between("right", "next_right"))

@@ -258,3 +258,26 @@ def framed(chunk_rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("movie_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     top = chunk_rows.where("parent_seq IS NULL AND error IS NULL")
     return top.withColumn("frame_no", F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)).cast("int")).withColumn("ends_frame", ends)
+
+
+def swap_frames(schedule: DataFrame) -> DataFrame:
+    """movie_id, frame_no at which staged parts are due, from codebook_schedule's rows.
+
+    Entries are taken in file order; one above its predecessors holds them up to
+    its frame, so one below any predecessor is late and dropped.
+    """
+    before = Window.partitionBy("movie_id").orderBy("entry_no").rowsBetween(Window.unboundedPreceding, -1)
+    held = schedule.withColumn("most", F.max("start_frame").over(before))
+    due = held.where("most IS NULL OR start_frame >= most")
+    return due.select("movie_id", F.col("start_frame").alias("frame_no")).distinct()
+
+
+def joined_parts(parts: DataFrame, cbparts: int) -> DataFrame:
+    """movie_id, cycle, data: every cbparts parts appended in order (C3, C4), from movie_id, seq, data.
+
+    A cycle that the movie leaves unfinished is never shown, so it is left out.
+    """
+    place = F.row_number().over(Window.partitionBy("movie_id").orderBy("seq")) - 1
+    cycles = parts.withColumn("cycle", F.floor(place / cbparts).cast("int")).groupBy("movie_id", "cycle")
+    whole = cycles.agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("p")).where(F.size("p") == cbparts)
+    return whole.select("movie_id", "cycle", F.aggregate("p", F.lit(b""), lambda all_, x: F.concat(all_, x["data"])).alias("data"))

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from cinelith.functions.codecs import fnv1a, lcw
 from cinelith.functions.faults import ERROR, Fault
@@ -317,3 +318,11 @@ def frame_rows(files: DataFrame, first: int = 0, last: int | None = None, every:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in FRAMES.split(", ")[:8]])
 
     return files.select("path", "content").mapInPandas(scanned, FRAMES)
+
+
+def command_writes(word: Column, count: Column) -> Column:
+    """Blocks that one command writes, from its word and the count byte behind it."""
+    command, run = F.shiftright(word, 13), F.shiftright(word, 8).bitwiseAND(31) + 1
+    return (
+        F.when(command == 1, run * 2).when(command == 2, run * 2 + 1).when(command.isin(3, 4), 1).when(command.isin(5, 6), count).otherwise(0)
+    )

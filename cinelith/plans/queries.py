@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from cinelith.functions import binary as B
 from cinelith.functions import codecs
 from cinelith.functions.faults import message_column
+from cinelith.operators import audio as A
 from cinelith.operators import container as C
+from cinelith.operators import video as V
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -352,11 +354,72 @@ UNION ALL SELECT conv_id, 'Truncated', NULL, 'unexpected end of data' FROM n WHE
 UNION ALL SELECT conv_id, 'NotVqa', NULL, 'not a VQA file' FROM n WHERE len <= 0
 """
 
+def swap_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as a schedule in file order, and the frames at which it swaps."""
+    entry = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    schedule = _table(spark, sf_dir, "events").select(F.col("user_id").alias("movie_id"), entry.alias("entry_no"), (F.col("event_id") * 7919 % 500).cast("int").alias("start_frame"))
+    return C.swap_frames(schedule).withColumnRenamed("movie_id", "user_id")
+
+
+SWAP_SQL = """
+WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, (event_id * 7919 % 500)::INTEGER AS start FROM events)
+SELECT DISTINCT user_id, start AS frame_no FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS b WHERE b.user_id = s.user_id AND b.k < s.k AND b.start > s.start)
+"""
+
+
+def codebook_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as codebook parts, three to a cycle."""
+    order = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    parts = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("movie_id"), order.alias("seq"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    whole = C.joined_parts(parts, 3)
+    return whole.select(F.col("movie_id").alias("conv_id"), "cycle", F.octet_length("data").cast("bigint").alias("size"), F.md5("data").alias("digest"))
+
+
+PARTS_SQL = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text NULLS FIRST) - 1 AS k, coalesce(text, '') AS text FROM conversations),
+j AS (SELECT conv_id, (k // 3)::INTEGER AS cycle, string_agg(text, '' ORDER BY k) AS data, count(*) AS n FROM t GROUP BY conv_id, k // 3)
+SELECT conv_id, cycle, strlen(data)::BIGINT AS size, md5(data) AS digest FROM j WHERE n = 3
+"""
+
+
+def vptr_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as the commands of a HiColor frame, and the blocks they write."""
+    word, count = (F.col("l_partkey") * 7919 % 57344).cast("int"), F.col("l_quantity").cast("int")
+    writes = V.command_writes(word, count).cast("bigint")
+    return _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(writes).alias("writes"))
+
+
+WRITES_SQL = """
+WITH w AS (SELECT l_orderkey, l_quantity::INTEGER AS count, l_partkey * 7919 % 57344 AS word FROM lineitem),
+c AS (SELECT *, word // 8192 AS command, word // 256 % 32 + 1 AS run FROM w)
+SELECT l_orderkey, sum(CASE command WHEN 1 THEN run * 2 WHEN 2 THEN run * 2 + 1 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN count WHEN 6 THEN count ELSE 0 END)::BIGINT AS writes
+FROM c GROUP BY l_orderkey
+"""
+
+
+def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a user's values as a stereo soundtrack, from three samples to four."""
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    s = F.col("event_id") * 7919 % 65536 - 32768
+    samples = _table(spark, sf_dir, "events").select(F.col("user_id").alias("movie_id"), order.alias("sample_no"), s.alias("left"), (-1 - s).alias("right"))
+    return A.resampled(samples, 3, 4).select(F.col("movie_id").alias("user_id"), F.col("sample_no").cast("bigint").alias("sample_no"), "left", "right")
+
+
+RESAMPLE_SQL = """
+WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, event_id * 7919 % 65536 - 32768 AS v FROM events),
+n AS (SELECT user_id, count(*) AS n FROM s GROUP BY user_id),
+o AS (SELECT user_id, n, unnest(range(n * 4 // 3)) AS place FROM n),
+p AS (SELECT user_id, place, place * 3 // 4 AS i, least(place * 3 // 4 + 1, n - 1) AS j, place * 3 % 4 / 4.0::DOUBLE AS part FROM o)
+SELECT p.user_id, p.place::BIGINT AS sample_no, trunc(a.v + (b.v - a.v) * part)::BIGINT AS "left", trunc(-1 - a.v + (a.v - b.v) * part)::BIGINT AS "right"
+FROM p JOIN s a ON a.user_id = p.user_id AND a.k = p.i JOIN s b ON b.user_id = p.user_id AND b.k = p.j
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         header_fields, chunk_walk, chunk_stats, finf_decode, pcm8_widen, pcm16_le, ima_adpcm, lcw_roundtrip, westwood_adpcm, fnv1a_digest, palette_scale,
-        codebook_asof, vpt_render, vptr_pixels, hicolor_convert, indexed_convert, every_nth, mixdown_av, error_report,
+        codebook_asof, vpt_render, vptr_pixels, hicolor_convert, indexed_convert, every_nth, mixdown_av, error_report, swap_frames, codebook_parts,
+        vptr_writes, resample_linear,
     )
 }
 
@@ -365,4 +428,5 @@ ORACLES: dict[str, str] = {
     "pcm16_le": PCM16_SQL, "ima_adpcm": IMA_SQL, "lcw_roundtrip": LCW_SQL, "westwood_adpcm": WESTWOOD_SQL, "fnv1a_digest": FNV_SQL,
     "palette_scale": PALETTE_SQL, "codebook_asof": ASOF_SQL, "vpt_render": VPT_SQL, "vptr_pixels": VPTR_SQL, "hicolor_convert": HICOLOR_SQL,
     "indexed_convert": INDEXED_SQL, "every_nth": NTH_SQL, "mixdown_av": MIX_SQL, "error_report": ERROR_SQL,
+    "swap_frames": SWAP_SQL, "codebook_parts": PARTS_SQL, "vptr_writes": WRITES_SQL, "resample_linear": RESAMPLE_SQL,
 }

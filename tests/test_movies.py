@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from movies import HICOLOR, PLAIN, book, chunk, movie, vqhd, words
 
-from cinelith.functions.codecs import lcw_literals
+from cinelith.functions.codecs import lcw_literals, resample
 from cinelith.functions.faults import Fault
 from cinelith.operators import audio, container, video
 from cinelith.sources.movies import expand, ppm
@@ -171,3 +171,22 @@ def test_pcm_columns(spark):
     r = spark.createDataFrame([(bytes.fromhex("3412ffff0080ff7f55"), bytes.fromhex("0080ff7f81"))], "a binary, b binary").select(B.pcm16(F.col("a")).alias("a"), B.pcm8(F.col("b")).alias("b")).first()
     assert r.a == [0x1234, -1, -32768, 32767] and r.b == [-32768, 0, 32512, -256, 256]
     assert np.int16(r.b[2]) == 32512
+
+
+@pytest.mark.parametrize(("source", "target"), [(3, 4), (22050, 44100), (5, 2), (7, 7)])
+def test_resampled_columns(spark, source, target):
+    rng = np.random.default_rng(5)
+    tracks = {m: rng.integers(-32768, 32768, (n, 2)).astype(np.int16) for m, n in (("a", 1), ("b", 17), ("c", 2))}
+    rows = [(m, k, int(l), int(r)) for m, t in tracks.items() for k, (l, r) in enumerate(t)]
+    found = audio.resampled(spark.createDataFrame(rows, "movie_id string, sample_no long, left long, right long"), source, target).collect()
+    for m, t in tracks.items():
+        got = [x for r in sorted(found, key=lambda r: r.sample_no) if r.movie_id == m for x in (r.left, r.right)]
+        assert got == resample(t, source, target).tolist()
+
+
+def test_swap_frames_and_parts(spark):
+    starts = [0, 4, 2, 4, 9, 8, 12]
+    schedule = spark.createDataFrame([("m", k, s) for k, s in enumerate(starts)], "movie_id string, entry_no int, start_frame int")
+    assert sorted(r.frame_no for r in container.swap_frames(schedule).collect()) == [0, 4, 9, 12]
+    parts = spark.createDataFrame([("m", k, bytes([k])) for k in (3, 1, 2, 0, 4)], "movie_id string, seq int, data binary")
+    assert sorted((r.cycle, bytes(r.data)) for r in container.joined_parts(parts, 2).collect()) == [(0, b"\0\1"), (1, b"\2\3")]
