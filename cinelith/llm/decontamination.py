@@ -99,18 +99,22 @@ class Matcher:
         if self.empty or not text:
             return []
         best: dict[int, tuple[int, int, int]] = {}
-        judged: dict[int, int] = {}  # item -> text up to here has been searched for it
+        judged: dict[int, set[int]] = {}  # item -> places its window has been searched around
+        front: dict[int, int] = {}  # item -> the last of these whose window starts at 0
         for last, (length, who) in self.machine.iter(text):
             for k, offset in who:
                 item = self.items[k]
                 at = last + 1 - length - offset
-                if (k in best and best[k][0] == 0) or at + item.n + item.budget <= judged.get(k, -1):
+                # windows are equally long unless cut at 0, so a window lies inside a searched one only in these two cases
+                if (k in best and best[k][0] == 0) or at in judged.get(k, ()) or at <= front.get(k, at - 1):
                     continue
                 if text.startswith(item.text, max(at, 0)) and at >= 0:
                     best[k] = (0, at, at + item.n)
                     continue
                 lo, hi = max(0, at - item.budget), at + item.n + item.budget
-                judged[k] = max(judged.get(k, -1), hi)
+                judged.setdefault(k, set()).add(at)
+                if lo == 0:
+                    front[k] = max(front.get(k, at), at)
                 distance, end = item.nearest(text[lo:hi])
                 if distance <= item.budget and (k not in best or distance < best[k][0]):
                     best[k] = (distance, max(0, lo + end - item.n), lo + end)

@@ -162,6 +162,29 @@ def test_decontamination(spark):
     assert decontamination.judge(docs, bench, block_chars=1).where("size(hits) > 0").count() == 1
 
 
+def test_decontamination_repetitive_items():
+    def least(item, text):  # edit distance of item to any stretch of text
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item, 1):
+            new = [i]
+            for j, x in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != x)))
+            row = new
+        return min(row)
+
+    rng = np.random.default_rng(4)
+    cases = [("abcdefghiabcdefghiklmnopqrst", "abxdefghiabcdefghiklmnopqrst")]
+    for item in ("abcdefghiabcdefghiklmnopqrst", "a yes b no c yes d no a yes b no c yes d no", "select x from t join t on x where x in t and x in t"):
+        for _ in range(150):
+            copy = list("some words before " + item + " some after")
+            for at in rng.choice(len(item), rng.integers(1, len(item) // 14 + 2), replace=False) + 18:
+                copy[at] = ["", "z", copy[at] + "q", "#"][rng.integers(4)]
+            cases.append((item, "".join(copy)))
+    for item, text in cases:
+        want = least(item, text)
+        assert [h[3] for h in decontamination.Matcher([(1, item)], 14).find(text)] == ([want] if want <= len(item) // 14 else []), text
+
+
 def test_toxicity(spark):
     docs = table(spark, [(100 + i, ("you idiot " if i % 2 else "dear friend ") + f"word{i % 7} text") for i in range(300)])
     labels = spark.createDataFrame([(100 + i, i % 2) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int")
