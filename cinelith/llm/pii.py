@@ -1,24 +1,32 @@
 """Personal data: base patterns plus information-theoretic sanitisation, in
 DataFrame operations only.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers.  Around
-each one (REACH code points to either side) the words are gathered.  Over the
-whole corpus three counts follow: how often an entity value occurs, how often a
-word occurs, and how often the word stands near the entity.  Their pointwise
-mutual information, divided by the entity's information content, is the share
-of the entity that the word discloses:
+Base spans are e-mail addresses, IP addresses, card and phone numbers.  Words
+are read outside these spans.  Over the whole corpus of N documents three counts
+follow: in how many documents n(e) an entity value stands, in how many n(t) a
+word does, and in how many n(e,t) both do, at whatever distance.  With
 
-    disclosure(e, t) = log2(n(e,t) * N / (n(e) * n(t))) / log2(N / n(e))
+    p = (n(e,t) + n(e) / N) / (n(t) + 1)
 
-A word seen SUPPORT times or more near an entity with a disclosure of at least
-`generalise` becomes a span of kind `term` wherever it stands near that entity.
-sanitise() rewrites such a word as [TERM], or removes it where its disclosure
-reaches `remove`.
+for the entity's probability where the word stands (one more document at the
+entity's base rate damps small counts), the pointwise mutual information divided
+by the entity's information content is the share of the entity that the word
+discloses:
 
-Scale: the words near entities are at most 2 * REACH code points an entity, so
-pairs stay linear in the entities.  All counts are partially aggregated before
-their shuffle; a hot entity is one row per task.  Flagged pairs are joined to
-occurrences by a sort-merge join, which adaptive execution may split.
+    disclosure(e, t) = log2(p * N / n(e)) / log2(N / n(e))
+
+Every pair that occurs in SUPPORT documents or more is scored.  A word whose disclosure of any entity is at
+least `generalise` becomes a span of kind `term` at all its places in all
+documents.  sanitise() rewrites such a word as [TERM], or removes it where its
+greatest disclosure reaches `remove`.
+
+Scale: a word is one row a document and leaves each task already counted.  As
+n(e,t) is n(e) at most, a word with too many documents for an entity cannot
+disclose it; such pairs are dropped before they are shuffled, which changes no
+result.  Pairs left are at most a document's entities times its rarer words.
+Disclosing words are joined to (document, word) rows, one for each different
+word of a document: by a broadcast while there are at most MAX_TERMS of them, by
+a shuffled join beyond; both give equal results.
 
 Defined cases: null or empty text has no spans (the digest is that of the empty
 string); null doc_ids and repeated rows are kept as they are; columns besides
@@ -33,9 +41,9 @@ from pyspark.sql import functions as F
 from cinelith.llm.shared import ascii_lower, materialize, row_keys, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH = 64
-SUPPORT = 3
 WORD = r"\p{L}{3,}"
+MAX_TERMS = 1_000_000
+SUPPORT = 3
 
 # Possessive forms of the contract's patterns: equal matches, but no recursion
 # in Java's regex engine and no re-scan of a run from each of its characters.
@@ -49,9 +57,11 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 
-def located(text: str, pattern: str, kind: str = "term") -> str:
+def located(text: str, pattern: str, kind: str = "term", wanted: str | None = None) -> str:
     """SQL for array<struct<start, end, value>> of the pattern's valid matches, in code points.
 
+    wanted is an SQL array that a lower-cased match must be in.
+
     split() gives the gaps between matches, so a match starts where the lengths
     of the gaps and matches before it end.
     """
@@ -60,7 +70,7 @@ def located(text: str, pattern: str, kind: str = "term") -> str:
         f"aggregate(zip_with(regexp_extract_all({text}, '{quoted}', 0), split({text}, '{quoted}', -1), (m, g) -> named_struct('m', m, 'g', length(g), 'l', length(m))), "
         "named_struct('at', 0, 'found', cast(array() AS array<struct<start:int,end:int,value:string>>)), "
         "(acc, x) -> IF(x.m IS NULL, acc, named_struct('at', acc.at + x.g + x.l, 'found', "
-        f"IF({valid(kind, 'x.m')}, array_append(acc.found, named_struct('start', acc.at + x.g, 'end', acc.at + x.g + x.l, 'value', x.m)), acc.found))), "
+        f"IF({f'array_contains({wanted}, lower(x.m))' if wanted else valid(kind, 'x.m')}, array_append(acc.found, named_struct('start', acc.at + x.g, 'end', acc.at + x.g + x.l, 'value', x.m)), acc.found))), "
         "acc -> acc.found)"
     )
 
@@ -94,50 +104,55 @@ def base_spans(text: str) -> Column:
     return F.expr(f"array_sort(concat({', '.join(parts)}))")
 
 
-def nearby(text: str, spans: str) -> Column:
-    """array<struct<entity, term, start, end>>: words within REACH of each span, outside all spans."""
-    left_from = f"greatest(s.start - {REACH}, 0)"
-    words_left = located(f"substring({text}, {left_from} + 1, s.start - {left_from})", WORD)
-    words_right = located(f"substring({text}, s.end + 1, {REACH})", WORD)
-    entity = "concat(cast(s.kind AS string), ':', lower(s.value))"
+def outside(text: str, spans: str) -> Column:
+    """text with blanks in place of its spans, so that places stay."""
     return F.expr(
-        f"flatten(transform({spans}, s -> concat("
-        f"transform(filter({words_left}, w -> w.start > 0 OR {left_from} = 0), "
-        f"w -> named_struct('entity', {entity}, 'term', lower(w.value), 'start', {left_from} + w.start, 'end', {left_from} + w.end)), "
-        f"transform(filter({words_right}, w -> w.end < {REACH}), "
-        f"w -> named_struct('entity', {entity}, 'term', lower(w.value), 'start', s.end + w.start, 'end', s.end + w.end)))))"
+        f"IF(size({spans}) = 0, {text}, aggregate({spans}, named_struct('at', 0, 'out', ''), (a, s) -> IF(s.end <= a.at, a, named_struct('at', s.end, "
+        f"'out', concat(a.out, substring({text}, a.at + 1, greatest(s.start - a.at, 0)), repeat(' ', s.end - greatest(s.start, a.at))))), "
+        f"a -> concat(a.out, substring({text}, a.at + 1))))"
     )
 
 
-def detect(docs: DataFrame, generalise: float = 0.8, support: int = SUPPORT) -> DataFrame:
+def detect(docs: DataFrame, generalise: float = 0.8, max_terms: int = MAX_TERMS) -> DataFrame:
     """(rk1, rk2, doc_id, base, terms): base spans and disclosing terms of each row.
 
     base is array<struct<start, kind, end, value>>; terms is
     array<struct<start, kind, end, disclosure>> (null where there is none).
     """
+    word = WORD.replace(chr(92), chr(92) * 2)
     rows = docs.select("doc_id", whole_text().alias("text"))
-    found = rows.select("doc_id", *row_keys(), "text", base_spans("text").alias("base"))
-    near = F.expr("filter(near, w -> NOT exists(base, b -> b.start < w.end AND w.start < b.end))")
-    kept = found.select("doc_id", "rk1", "rk2", "base", nearby("text", "base").alias("near")).withColumn("near", near)
-    marked = materialize(kept, "entities")
-
-    word = F.explode(F.expr(f"regexp_extract_all(lower(text), '{WORD.replace(chr(92), chr(92) * 2)}', 0)")).alias("term")
-    words = materialize(rows.select(word).groupBy("term").agg(F.count("*").alias("n_t")), "words")
-    entities = marked.select(F.explode("base").alias("b")).groupBy(
-        F.expr("concat(cast(b.kind AS string), ':', lower(b.value))").alias("entity")
-    ).agg(F.count("*").alias("n_e"))
-    seen = marked.where("size(near) > 0").select("rk1", "rk2", F.explode("near").alias("w")).select("rk1", "rk2", "w.*")
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    total = words.agg(F.sum("n_t").alias("n")).first()["n"] or 1
-    n = F.lit(float(total))
-    information = F.log2(n / F.col("n_e"))
-    scored = pairs.join(entities, "entity").join(words, "term").select(
-        "entity", "term",
-        F.when(information > 0, F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / information).otherwise(0.0).alias("disclosure"),
-    ).where(F.col("disclosure") >= generalise)
-    terms = seen.join(materialize(scored, "disclosing"), ["entity", "term"]).groupBy("rk1", "rk2", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    spans = F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure"))).alias("terms")
-    return marked.select("rk1", "rk2", "doc_id", "base").join(terms.groupBy("rk1", "rk2").agg(spans), ["rk1", "rk2"], "left")
+    found = rows.select(F.monotonically_increasing_id().alias("at"), "doc_id", *row_keys(), "text", base_spans("text").alias("base"))
+    marked = materialize(found.withColumn("text", outside("text", "base")), "entities")
+    n = float(marked.count() or 1)
+
+    each = F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(text, '{word}', 0), w -> lower(w)))")).alias("term")
+    words = materialize(marked.select(each).groupBy("term").agg(F.count("*").alias("n_t")), "words")
+    held = marked.where("size(base) > 0")
+    entity = F.explode(F.expr("array_distinct(transform(base, b -> concat(cast(b.kind AS string), ':', lower(b.value))))")).alias("entity")
+    entities = held.select("at", entity)
+    entities = entities.join(entities.groupBy("entity").agg(F.count("*").alias("n_e")), "entity")
+    base_rate, information = F.col("n_e") / n, F.log2(n / F.col("n_e"))
+
+    def disclosure(n_et: Column) -> Column:
+        p = (n_et + base_rate) / (F.col("n_t") + 1)
+        return F.when(information > 0, F.log2(p / base_rate) / information).otherwise(0.0)
+
+    # what a pair's disclosure is at most; the margin is for rounding only
+    possible = disclosure(F.least("n_e", "n_t")) >= generalise - 1e-9
+    pairs = held.select("at", each).join(words, "term").join(entities, "at").where(possible)
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_et") >= SUPPORT)
+    scored = pairs.select("term", disclosure(F.col("n_et")).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    disclosing = materialize(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing")
+
+    sent = F.broadcast(disclosing) if disclosing.count() <= max_terms else disclosing.hint("merge")
+    told = marked.select("at", each).join(sent, "term").groupBy("at").agg(F.collect_list(F.struct("term", "disclosure")).alias("told"))
+    told = materialize(told, "told")
+    rows = marked.join(told, "at", "left").withColumn("wanted", F.expr("transform(told, t -> t.term)"))
+    terms = F.expr(
+        f"IF(told IS NULL, NULL, transform({located('text', WORD, wanted='wanted')}, s -> named_struct('start', s.start, 'kind', 4, 'end', s.end, "
+        "'disclosure', element_at(told, cast(array_position(wanted, lower(s.value)) AS int)).disclosure)))"
+    )
+    return rows.select("rk1", "rk2", "doc_id", "base", terms.alias("terms"))
 
 
 def joined_spans(spans: str) -> Column:
@@ -145,8 +160,8 @@ def joined_spans(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, s -> concat(array({names})[s.kind], ':', s.start, ':', s.end)), ',')")
 
 
-def digest(docs: DataFrame, generalise: float = 0.8, support: int = SUPPORT) -> DataFrame:
-    found = detect(docs.select("doc_id", "text"), generalise, support)
+def digest(docs: DataFrame, generalise: float = 0.8) -> DataFrame:
+    found = detect(docs.select("doc_id", "text"), generalise)
     every = F.expr(
         "array_sort(concat(transform(base, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end)), "
         "coalesce(transform(terms, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end)), "
@@ -158,11 +173,11 @@ def digest(docs: DataFrame, generalise: float = 0.8, support: int = SUPPORT) ->
     )
 
 
-def sanitise(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """docs with personal data rewritten in text: base spans as [EMAIL], [IP],
     [CARD], [PHONE]; terms as [TERM], or removed from `remove` on.  Of overlapping
     spans the one that starts first is rewritten and swallows the rest."""
-    found = detect(docs.select("doc_id", "text"), generalise, support)
+    found = detect(docs.select("doc_id", "text"), generalise)
     marks = found.dropDuplicates(["rk1", "rk2"]).select("rk1", "rk2", "base", "terms")
     rows = docs.select(F.struct("*").alias("row"), "doc_id", whole_text().alias("text")).select("row", "text", *row_keys())
     labels = ", ".join(f"'[{k.upper()}]'" for k in KINDS)

@@ -58,6 +58,12 @@ def test_pii(spark):
     assert "[EMAIL]" in clean[100] and "projectzeus" not in clean[100]
 
 
+def test_pii_far_terms(spark):
+    rows = [(i, "call me today maybe") for i in range(60)] + [(100 + i, "Quixote " + "call today maybe " * 20 + "q@b.co") for i in range(4)] + [(200, "call quixote today")]
+    found = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "term:0:7" in found[100] and found[200] == "term:5:12" and found[0] == ""
+
+
 def test_minhash(spark):
     docs = table(spark)
     sets = {}
