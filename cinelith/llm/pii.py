@@ -15,7 +15,7 @@ discloses:
 
     disclosure(e, t) = log2(p * N / n(e)) / log2(N / n(e))
 
-Every pair that occurs in SUPPORT documents or more is scored.  A word whose disclosure of any entity is at
+Every pair that occurs is scored.  A word whose disclosure of any entity is at
 least `generalise` becomes a span of kind `term` at all its places in all
 documents.  sanitise() rewrites such a word as [TERM], or removes it where its
 greatest disclosure reaches `remove`.
@@ -43,7 +43,6 @@ from cinelith.llm.shared import ascii_lower, materialize, row_keys, whole_text
 KINDS = ("email", "ip", "card", "phone", "term")
 WORD = r"\p{L}{3,}"
 MAX_TERMS = 1_000_000
-SUPPORT = 3
 
 # Possessive forms of the contract's patterns: equal matches, but no recursion
 # in Java's regex engine and no re-scan of a run from each of its characters.
@@ -140,7 +139,7 @@ def detect(docs: DataFrame, generalise: float = 0.8, max_terms: int = MAX_TERMS)
     # what a pair's disclosure is at most; the margin is for rounding only
     possible = disclosure(F.least("n_e", "n_t")) >= generalise - 1e-9
     pairs = held.select("at", each).join(words, "term").join(entities, "at").where(possible)
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where(F.col("n_et") >= SUPPORT)
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
     scored = pairs.select("term", disclosure(F.col("n_et")).alias("disclosure")).where(F.col("disclosure") >= generalise)
     disclosing = materialize(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing")
 

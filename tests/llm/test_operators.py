@@ -64,6 +64,34 @@ def test_pii_far_terms(spark):
     assert "term:0:7" in found[100] and found[200] == "term:5:12" and found[0] == ""
 
 
+def pii_terms(rows):
+    """(doc_id, start, end) of every disclosing term by brute force, where all base spans are e-mail addresses of a fixed form."""
+    blank = [(i, re.sub(r"[a-z0-9]+@[a-z0-9.]+", lambda m: " " * len(m[0]), t)) for i, t in rows]
+    held = [set(re.findall(r"[a-z0-9]+@[a-z0-9.]+", t)) for _, t in rows]
+    words = [set(re.findall(r"[^\W\d_]{3,}", t.lower())) for _, t in blank]
+    n, n_e, n_t = len(rows), Counter(e for h in held for e in h), Counter(t for w in words for t in w)
+    n_et = Counter((e, t) for h, w in zip(held, words, strict=True) for e in h for t in w)
+    told = {t for (e, t), c in n_et.items() if n_e[e] < n and math.log2((c + n_e[e] / n) / (n_t[t] + 1) * n / n_e[e]) / math.log2(n / n_e[e]) >= 0.8}
+    return {(i, m.start(), m.end()) for i, t in blank for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in told}
+
+
+def test_pii_rare_and_far_terms(spark):
+    rng = np.random.default_rng(6)
+    common = ["call", "today", "maybe", "letter", "house", "Über", "river", "stone"]
+    rows = [(i, " ".join(rng.choice(common, 12))) for i in range(300)]
+    rows[3] = (3, "Zebulon " + rows[3][1] + " z@b.co")  # one address, seen once
+    rows[4] = (4, "Quixote " + "call today maybe " * 20 + "q@b.co zero")  # further off than 64 places
+    rows[5] = (5, "call quixote today")  # the word alone
+    rows[6] = (6, "s@b.co call s@b.co and sometimes t@b.co")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.digest(docs).collect()}
+    one, two = (Counter((r.doc_id, str(sorted(r.terms or []))) for r in pii.detect(docs, max_terms=m).collect()) for m in (10**6, 0))
+    assert one == two
+    assert "term:0:7" in found[3] and "term:0:7" in found[4] and found[5] == "term:5:12"
+    got = {(i, *map(int, s.split(":")[1:])) for i, spans in found.items() for s in spans.split(",") if s.startswith("term")}
+    assert got == pii_terms(rows)
+
+
 def test_minhash(spark):
     docs = table(spark)
     sets = {}
