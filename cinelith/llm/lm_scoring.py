@@ -14,8 +14,9 @@ excluded depends on the longer context alone, so the trie's tables are computed
 once and a batch is scored level by level for all its distinct contexts.
 
 Scale: counts of all training texts leave each task summed, and are summed again
-by hash.  The trie takes at most MAX_GRAMS grams (beyond that the least frequent
-go, by a count threshold), so its broadcast is bounded.  Word counts travel as a
+by hash.  The trie is broadcast while it has at most MAX_GRAMS grams and is dealt
+out by gram_values beyond; no count is left out, and both give equal results.
+Word counts travel as a
 broadcast while there are at most MAX_WORDS different words and by a shuffled
 join beyond; both give equal results.
 
@@ -34,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinelith.llm import gram_values
 from cinelith.llm.shared import id_bucket, materialize
 from cinelith.llm.text import slices, words
-from cinelith.llm.url_filter import bounded, grams
+from cinelith.llm.url_filter import grams
 
 ORDER = 4
 MAX_GRAMS = 4_000_000
@@ -48,10 +50,13 @@ _HOLD = 4_000_000
 class Ppm:
     """The trie's tables, from distinct (context, symbol) keys of the top order and counts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int = ORDER, low: tuple[np.ndarray, np.ndarray] | None = None):
+        """low has the keys and counts of order 1 where keys is a part of the grams."""
         self.levels = []
         finer = None
         for k in range(order, -1, -1):
+            if k == 1 and low is not None:
+                keys, counts = low
             kept = keys & ((1 << 9 * (k + 1)) - 1)
             gram, where = np.unique(kept, return_inverse=True)
             count = np.bincount(where, counts, len(gram))
@@ -75,8 +80,10 @@ class Ppm:
         todo = np.arange(len(key))
         for below, level in enumerate(self.levels):
             k = len(self.levels) - 1 - below
-            if not len(todo) or not len(level["context"]):
+            if not len(todo):
                 break
+            if not len(level["context"]):
+                continue
             mine = key[todo] & ((1 << 9 * (k + 1)) - 1)
             at = np.minimum(np.searchsorted(level["context"], mine >> 9), len(level["context"]) - 1)
             known = level["context"][at] == mine >> 9
@@ -130,10 +137,20 @@ def token_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.append(words(data, offsets)[0].view(np.int64), np.full(len(offsets) - 1, END_WORD))
 
 
-def fit_ppm(texts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Ppm:
-    counts = materialize(_summed(texts, lambda d, o: grams(d, o, order), "key bigint, n bigint"), "grams")
-    found = bounded(counts, max_grams).toArrow()
-    return Ppm(found.column("key").to_numpy(), found.column("n").to_numpy().astype(float), order)
+def fit_ppm(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, n) of every gram."""
+    return materialize(_summed(texts, lambda d, o: grams(d, o, order), "key bigint, n bigint"), "grams")
+
+
+def trie_by_join(rows: DataFrame, counts: DataFrame, n_grams: int, max_grams: int, order: int = ORDER) -> DataFrame:
+    """rows (with text) and their score as _trie, for any number of grams."""
+
+    def values(key: np.ndarray, held: dict, low: dict) -> np.ndarray:
+        return Ppm(held[0][0], held[0][1].astype(float), order, (low[0][0], low[0][1].astype(float))).log10(key)
+
+    classed = counts.select(F.lit(0).alias("class"), F.col("key").alias("gram"), "n")
+    done = gram_values.summed(rows, classed, n_grams, max_grams, lambda d, o: grams(d, o, order), values)
+    return done.select("row.*", F.col("total").alias("_trie"))
 
 
 def fit_words(texts: DataFrame) -> tuple[DataFrame, int, int]:
@@ -208,9 +225,17 @@ def base_by_join(rows: DataFrame, counts: DataFrame, smooth: float, mass: float,
 def score(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> DataFrame:
     """docs as struct `row`, n_tokens, n_known, train_tokens, base_score and score."""
     train = docs.where(id_bucket(10) != 0).select(F.col("text").cast("string").alias("text"))
-    model = fit_ppm(train, max_grams=max_grams)
+    trie, model = fit_ppm(train), None
+    n_grams = trie.count()
+    if n_grams <= max_grams:
+        found = trie.toArrow()
+        model = Ppm(found.column("key").to_numpy(), found.column("n").to_numpy().astype(float))
     counts, n, v = fit_words(train)
-    done = (base_by_broadcast if v <= max_words else base_by_join)(docs, counts, 0.1, n + 0.1 * (v + 1), model)
+    rows = docs if model is not None else trie_by_join(docs, trie, n_grams, max_grams)
+    done = (base_by_broadcast if v <= max_words else base_by_join)(rows, counts, 0.1, n + 0.1 * (v + 1), model)
+    if model is None:
+        row = F.struct(*[F.col("row")[c].alias(c) for c in docs.columns]).alias("row")
+        done = done.select(row, "n_tokens", "n_known", "base_score", F.col("row._trie").alias("score"))
     return done.select("row", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

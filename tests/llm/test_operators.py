@@ -163,6 +163,12 @@ def test_lm_paths_agree(spark):
     assert all(math.isfinite(x[4]) and x[4] < 0 for x in one)
 
 
+def test_lm_keeps_every_gram(spark):
+    docs = table(spark, [(100 + i, f"text number {i * 7919} of many, naïve and plain") for i in range(60)])
+    one, two = (sorted((str(tuple(r)[0].doc_id), r.n_tokens, round(r.base_score, 9), round(r.score, 6)) for r in lm_scoring.score(docs, max_grams=m).collect()) for m in (10**6, 200))
+    assert one == two
+
+
 def test_suffix_dedup(spark):
     docs = table(spark, [(70, "ab" * 90), (71, "ab" * 70 + "c"), (72, "\x00" * 80), (73, "z" + "\x00" * 60)])
     every = [(i, t.encode()) for i, t in rows_of(docs)]
