@@ -7,10 +7,10 @@ log-likelihoods divided by its length; the threshold is calibrated on rule-judge
 URLs that neither model has seen (least sum of the two error rates).
 
 Scale: n-gram counts leave each task already summed and are summed again by
-hash; what is broadcast is at most MAX_GRAMS n-grams a class, 12 bytes each (if
-more are found, those counted least go, by a count threshold taken from a
-histogram).  Calibration sees a histogram of BINS bins.  Scoring is one pass
-without a shuffle, so repeated URLs are no hot key.
+hash.  Models of at most MAX_GRAMS n-grams a class are broadcast, and scoring is
+one pass without a shuffle, so repeated URLs are no hot key.  Larger ones are
+dealt out by gram_values; no count is left out, and both give equal results.
+Calibration sees a histogram of BINS bins.
 
 Defined cases: a null URL or one without :// has an empty host and path, fits no
 rule, and is judged by its whole text (a null or empty one scores 0, which is
@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinelith.llm.shared import ascii_lower
+from cinelith.llm import gram_values
+from cinelith.llm.shared import ascii_lower, materialize
 from cinelith.llm.text import slices
 
 #: Fixed values: (host, path, verdict).
@@ -91,12 +92,14 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
 class Markov:
     """Interpolated orders 0..order from distinct top-order keys and their counts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray] | None = None):
+        """low has the keys and counts of order 1 where keys is a part of the grams."""
         self.order, self.levels = order, []
         for k in range(order + 1):
-            kept = keys & ((1 << 9 * (k + 1)) - 1)
+            mine, n = low if k < 2 and low is not None else (keys, counts)
+            kept = mine & ((1 << 9 * (k + 1)) - 1)
             at, where = np.unique(kept, return_inverse=True)
-            count = np.bincount(where, counts, len(at))
+            count = np.bincount(where, n, len(at))
             contexts, owner = np.unique(at >> 9, return_inverse=True)
             self.levels.append((at, count, contexts, np.bincount(owner, count, len(contexts)), np.bincount(owner, minlength=len(contexts))))
 
@@ -115,7 +118,7 @@ class Markov:
         return np.log(p)
 
 
-def count_grams(labelled: DataFrame, order: int, max_grams: int) -> DataFrame:
+def count_grams(labelled: DataFrame, order: int) -> DataFrame:
     """(class, gram, n) from columns class and text."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,29 +134,19 @@ def count_grams(labelled: DataFrame, order: int, max_grams: int) -> DataFrame:
     return labelled.select("class", "text").mapInArrow(counted, "class int, gram bigint, n bigint").groupBy("class", "gram").agg(F.sum("n").alias("n"))
 
 
-def bounded(counts: DataFrame, max_rows: int) -> DataFrame:
-    """counts without its least n, so that at most max_rows rows are left (by bins of a fifth of a power of two)."""
-    level = F.floor(F.log2("n") * 5).cast("int")
-    bins = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.level)
-    left, least = max_rows, None
-    for r in bins:
-        if r.rows > left:
-            break
-        left, least = left - r.rows, r.level
-    return counts.where(level >= least) if least is not None else counts.limit(0)
+def fit(rows: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> tuple[dict | tuple[DataFrame, int, int], float]:
+    """(models, threshold) from columns text, class (1, 0 or null).
 
-
-def fit(rows: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> tuple[dict, float]:
-    """({1: accepted, 0: rejected} as (keys, counts), threshold) from columns text, class (1, 0 or null)."""
+    models is {1: accepted, 0: rejected} as (keys, counts), or (counts, their
+    rows, max_grams) where a class has more than max_grams n-grams.
+    """
     known = rows.where("class IS NOT NULL")
     split = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION))
-    counts = count_grams(known.where(split != 0), order, max_grams)
-    models = {}
-    for c in (1, 0):
-        found = bounded(counts.where(F.col("class") == c), max_grams).select("gram", "n").toArrow()
-        models[c] = (found.column("gram").to_numpy(), found.column("n").to_numpy())
-    if not all(len(k) for k, _ in models.values()):
-        return models, 0.0
+    counts = materialize(count_grams(known.where(split != 0), order), "url-grams")
+    sizes = {r["class"]: r["rows"] for r in counts.groupBy("class").agg(F.count("*").alias("rows")).collect()}
+    if len(sizes) < 2:
+        return {c: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for c in (1, 0)}, 0.0
+    models = gram_values.by_class(counts.toArrow()) if max(sizes.values()) <= max_grams else (counts, sum(sizes.values()), max_grams)
     held = score(known.where(split == 0).select("class", "text"), models, order)
     at = F.floor((F.least(F.greatest("score", F.lit(-REACH)), F.lit(REACH)) + REACH) / (2 * REACH) * (BINS - 1)).cast("int")
     table = np.zeros((2, BINS))
@@ -165,8 +158,22 @@ def fit(rows: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> tupl
     return models, float(best[len(best) // 2] / (BINS - 1) * 2 * REACH - REACH) if table.sum(1).all() else 0.0
 
 
-def score(rows: DataFrame, models: dict, order: int = ORDER) -> DataFrame:
+def score_by_join(rows: DataFrame, counts: DataFrame, n_grams: int, max_grams: int, order: int = ORDER) -> DataFrame:
+    """As score, for models of any size."""
+
+    def values(key: np.ndarray, held: dict, low: dict) -> np.ndarray:
+        good, bad = (Markov(*held[c], order, low[c]) for c in (1, 0))
+        return good.log_probability(key) - bad.log_probability(key)
+
+    done = gram_values.summed(rows, counts, n_grams, max_grams, lambda d, o: grams(d, o, order), values)
+    size = F.coalesce(F.octet_length("row.text"), F.lit(0))
+    return done.select("row", F.when(size > 0, F.col("total") / (size + 1)).otherwise(0.0).alias("score"))
+
+
+def score(rows: DataFrame, models: dict | tuple[DataFrame, int, int], order: int = ORDER) -> DataFrame:
     """rows (with a column text) as struct `row`, with the length-normalised difference."""
+    if isinstance(models, tuple):
+        return score_by_join(rows, *models, order)
     sent = rows.sparkSession.sparkContext.broadcast(models)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +193,11 @@ def score(rows: DataFrame, models: dict, order: int = ORDER) -> DataFrame:
     return packed.mapInArrow(scored, f"row {rows.schema.simpleString()}, score double")
 
 
-def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple = RULES, max_grams: int = MAX_GRAMS) -> DataFrame:
     """page_id, url, host, path, rule, score and verdict of every row."""
     rows = ruled(pages, rules)
     text = rows.withColumn("text", F.when(F.col("host") != "", F.concat("host", "path")).otherwise(F.coalesce("url", F.lit(""))))
-    models, threshold = fit(text.select("text", F.when(F.col("by_rule").isNotNull(), (F.col("by_rule") == "allow").cast("int")).alias("class")))
+    models, threshold = fit(text.select("text", F.when(F.col("by_rule").isNotNull(), (F.col("by_rule") == "allow").cast("int")).alias("class")), max_grams=max_grams)
     done = score(text, models).select("row.*", "score")
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return done.select("page_id", "url", "host", "path", "rule", "score", verdict.alias("verdict"))

@@ -240,6 +240,13 @@ def test_url_filter(spark):
     assert out[(4, "a.net")][1:] == ("net/fr/", "block") and out[(5, "example.com")][1] is None
 
 
+def test_url_filter_keeps_every_gram(spark):
+    hosts = ("shop.com", "news.net", "blog.org", "example.com")
+    pages = spark.createDataFrame([(i, f"http://{hosts[i % 4]}/{('en', 'fr', 'es')[i % 3]}/{i * 7919 % 1009}") for i in range(200)], "page_id long, url string")
+    one, two = ({r.page_id: (r.verdict, round(r.score, 9)) for r in url_filter.judge(pages, max_grams=m).collect()} for m in (10**6, 100))
+    assert one == two and any(s for _, s in one.values())
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(200)] + [(40, None), (None, [1.0]), (60, [float("nan")]), (20, [0.0] * 5)]
