@@ -13,17 +13,24 @@ input, so suffixes are first thinned without loss:
    gram and task goes to the bucket that decides the rest.
 2. Stretches, written from their anchor on, are sorted in each task; equal ones
    collapse to those of the smallest doc_id (the others are covered).  Runs are front-coded
-   (shared prefix length, rest), dealt out by ranges of anchor grams, and merged
+   (shared prefix lengths, rests), dealt out by ranges of strings, and merged
    by a loser tree that keeps each loser's common prefix with the last winner and
    never compares a byte of it again.  Equal stretches meet; all but the smallest
    doc_id are covered.
 3. Different stretches with one anchor gram stand next to each other in that
    order.  Only they can share some of their windows; the windows that end inside
    what a stretch has in common with a neighbour are sorted and merged the same way.
+   The first and the last stretch of a part, whose neighbours stand in other
+   parts, send all their windows on.
 
 Scale: a string common to a third of all documents is one entry per task in
-every exchange.  Texts travel compressed, twice.  Splitters come from at most
-SAMPLE documents; they steer balance, not results.
+every exchange.  Texts travel compressed, twice.  A part is a range of strings,
+so a gram that stands in many different contexts is split over parts like any
+other; beyond RANGES ranges strings are dealt out by a hash of their first bytes
+too.  Parts are sized by entries (PART), so a task's memory does not follow the
+session's shuffle partitions; their runs are decoded in blocks as the merge
+goes.  Splitters come from a sample of the sorted strings themselves, DRAWS a
+range; they steer balance, not results.
 
 Defined cases: null text is empty; texts shorter than LENGTH bytes lose nothing;
 a null doc_id neither covers nor loses bytes; rows that repeat a doc_id do not
@@ -40,13 +47,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinelith.llm.shared import materialize, whole_text
-from cinelith.llm.text import mix, slices
+from cinelith.llm.text import SLICE, mix, slices
 
 LENGTH = 50
 GRAM = 24
 SPAN = LENGTH - GRAM + 1  # grams in a window, and at most windows in a stretch
 WIDE = LENGTH + SPAN + 1  # a stretch's bytes, then where its left part begins, then its size
-SAMPLE = 256
+PART = 200_000  # entries of a part of a sort
+BUCKET_BYTES = 8 << 20  # bytes of text whose grams make a bucket
+RANGES = 4096
+DRAWS = 32
 _HOLD = 600_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,11 +130,16 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     import zstandard
 
     tool = zstandard.ZstdDecompressor()
-    packed = b.column("z")
-    for lo in range(0, len(packed), 64):
-        texts = [tool.decompress(z) for z in packed.slice(lo, 64).to_pylist()]
+    packed = b.column("z").to_pylist()
+    lo = 0
+    while lo < len(packed):
+        texts, held = [], 0
+        while lo + len(texts) < len(packed) and (not texts or held < SLICE // 2):
+            texts.append(tool.decompress(packed[lo + len(texts)]))
+            held += len(texts[-1])
         offsets = np.append(0, np.cumsum([len(t) for t in texts]))
         yield lo, lo + len(texts), np.frombuffer(b"".join(texts), np.uint8), offsets
+        lo += len(texts)
 
 
 def _planes(a: np.ndarray, skip: int = 0) -> bytes:
@@ -147,13 +162,12 @@ def _per_row(rk: np.ndarray, number: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(rk[starts]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(rk)).astype(np.int32)), pa.array(number[order].astype(np.int32)))
 
 
-def shared_stretches(rows: DataFrame, copies: DataFrame) -> DataFrame:
+def shared_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
     """(rk, picks array<int>): numbers of each row's stretches whose anchor gram occurs in two documents.
 
     Rows whose rk is in copies are left out.
     Grams are told apart by their upper 48 bits; a chance meeting only adds a candidate.
     """
-    buckets = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = ["bucket", "entries", "rk", "picks"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +189,14 @@ def shared_stretches(rows: DataFrame, copies: DataFrame) -> DataFrame:
             keep = ~known
             keep[starts] = True
             gram, doc, rk, number = gram[keep], doc[keep], rk[keep], number[keep]
-            edges = np.searchsorted(gram, (np.arange(1, buckets) * (2**64 // buckets)).astype(np.uint64))
-            for k, at in enumerate(np.split(np.arange(len(gram)), edges)):
-                if len(at):
-                    who, row = np.unique(rk[at], return_index=True)
-                    place = np.searchsorted(who, rk[at]).astype(np.uint32)
-                    entries = np.int64([len(at), len(who)]).tobytes() + who.tobytes() + doc[at][row].tobytes() + _planes(gram[at], 2) + _planes(place) + _planes(number[at])
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([entries]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], names)
+            bucket = gram // np.uint64(-(-(1 << 64) // buckets))
+            edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for first, end in zip(edges.tolist(), np.append(edges[1:], len(gram)).tolist(), strict=True):
+                at = slice(first, end)
+                who, row = np.unique(rk[at], return_index=True)
+                place = np.searchsorted(who, rk[at]).astype(np.uint32)
+                entries = np.int64([end - first, len(who)]).tobytes() + who.tobytes() + doc[at][row].tobytes() + _planes(gram[at], 2) + _planes(place) + _planes(number[at])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[first]], pa.int32()), pa.array([entries]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], names)
 
         for b in batches:
             doc_ids, keys = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("rk").to_numpy()
@@ -290,62 +305,76 @@ def unrotated(string: bytes) -> bytes:
 
 
 def front_coded(table: np.ndarray) -> bytes:
-    """Sorted rows as (shared prefix length, rest)."""
+    """Sorted rows: their number, each one's shared prefix length, then the rests."""
     width = table.shape[1]
     differ = table[1:] != table[:-1]
     shared = np.append(0, np.where(differ.any(1), differ.argmax(1), width)).astype(np.uint8)
     keep = np.arange(width) >= shared[:, None]
-    whole = np.concatenate([shared[:, None], table], 1)
-    return whole[np.concatenate([np.ones((len(table), 1), bool), keep], 1)].tobytes()
+    return len(table).to_bytes(4, "little") + shared.tobytes() + table[keep].tobytes()
 
 
 class Run:
-    """A front-coded run: string, common prefix with the one before, number."""
-
-    def __init__(self, coded: bytes, width: int):
-        self.coded, self.width, self.at, self.number, self.string, self.shared = coded, width, 0, -1, b"", 0
-
-    def advance(self) -> bool:
-        if self.at >= len(self.coded):
-            return False
-        shared = self.coded[self.at]
-        end = self.at + 1 + self.width - shared
-        self.string = self.string[:shared] + self.coded[self.at + 1 : end]
-        self.at, self.shared = end, shared
-        self.number += 1
-        return True
-
-
-def merge_runs(runs: list[Run]) -> Iterator[tuple[int, int, bytes, int]]:
-    """(run, number in the run, string, common prefix with the string before) in order.
-
-    tree[node] is the loser of a match: (run, its common prefix with the last
-    overall winner).  A longer common prefix wins outright; only of equal ones are
-    the bytes behind it compared.
+    """A front-coded run, decoded `block` strings at a time."""
+
+    def __init__(self, coded: bytes, width: int, block: int = 1024):
+        self.coded, self.width, self.block = np.frombuffer(coded, np.uint8), width, block
+        self.n = int.from_bytes(coded[:4], "little")
+        self.row, self.at, self.last = 0, 4 + self.n, np.zeros((1, width), np.uint8)
+
+    def more(self) -> tuple[list[bytes], list[int]]:
+        """The next strings, and what each shares with the one before; empty at the end."""
+        shared = self.coded[4 + self.row : 4 + min(self.row + self.block, self.n)]
+        self.row += len(shared)
+        column = np.arange(self.width)
+        keep = column >= shared[:, None]
+        table = np.concatenate([self.last, np.zeros(keep.shape, np.uint8)])
+        size = int(keep.sum())
+        table[1:][keep] = self.coded[self.at : self.at + size]
+        self.at += size
+        # a byte that is not written again is that of the last row that wrote its column
+        source = np.where(keep, np.arange(1, len(shared) + 1, dtype=np.int32)[:, None], np.int32(0))
+        table = table[np.maximum.accumulate(source, axis=0), column]
+        self.last = table[-1:] if len(table) else self.last
+        return table.view(f"S{self.width}").ravel().tolist(), shared.tolist()
+
+
+def merge_runs(runs: list[Run], chunk: int = 1 << 15) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Chunks of (place among all runs' strings, common prefix with the string before, string) in order.
+
+    tree[node] is the loser of a match; prefix has each run's common prefix with
+    the last overall winner (-1 if it has ended).  A longer common prefix wins
+    outright; only of equal ones are the bytes behind it compared.
     """
     k = 1
     while k < len(runs):
         k *= 2
-    live = [False] * k
-    prefix = [0] * k
-    for i, r in enumerate(runs):
-        live[i] = r.advance()
+    width = runs[0].width
+    strings, shares = [[b""]] * k, [[0]] * k
+    head, prefix, at = [b""] * k, [-1] * k, [0] * k
+    place = [0] * k
+    seen = 0
+    for i, run in enumerate(runs):
+        place[i], seen = seen, seen + run.n
+        if run.n:
+            strings[i], shares[i] = run.more()
+            head[i], prefix[i] = strings[i][0], 0
     tree = [-1] * k
 
     def play(a: int, b: int) -> tuple[int, int]:
-        if not live[a]:
-            return b, a
-        if not live[b]:
-            return a, b
+        """(winner, loser); the loser's prefix becomes what it shares with the winner."""
         x, y = prefix[a], prefix[b]
-        if x != y:
-            return (a, b) if x > y else (b, a)
-        s, t = runs[a].string, runs[b].string
-        n = len(s)
-        while x < n and s[x] == t[x]:
-            x += 1
-        if x < n and s[x] > t[x]:
+        if x != y or x < 0:
+            return (a, b) if x >= y else (b, a)
+        s, t = head[a][x:], head[b][x:]
+        if s == t:
+            prefix[b] = width
+            return a, b
+        if s > t:
             a, b = b, a
+        for c, d in zip(s, t, strict=True):
+            if c != d:
+                break
+            x += 1
         prefix[b] = x
         return a, b
 
@@ -356,32 +385,49 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[int, int, bytes, int]]:
         return winner
 
     top = build(1)
-    while live[top]:
-        run = runs[top]
-        yield top, run.number, run.string, prefix[top]
-        live[top] = run.advance()
-        prefix[top] = run.shared
-        node = (top + k) // 2
+    out: tuple[list, list, list] = ([], [], [])
+    while prefix[top] >= 0:
+        out[0].append(place[top])
+        out[1].append(prefix[top])
+        out[2].append(head[top])
+        if len(out[0]) == chunk:
+            yield out
+            out = ([], [], [])
+        place[top] += 1
+        i = at[top] + 1
+        if i == len(strings[top]):
+            strings[top], shares[top] = runs[top].more()
+            i = 0
+        at[top] = i
+        if strings[top]:
+            head[top] = strings[top][i]
+            p = shares[top][i]
+        else:
+            p = -1
+        prefix[top] = p
+        node = (top + k) >> 1
         while node:
-            top, tree[node] = play(top, tree[node])
-            node //= 2
+            other = tree[node]
+            q = prefix[other]
+            if q > p:
+                tree[node], top, p = top, other, q
+            elif q == p and p >= 0:
+                top, tree[node] = play(top, other)
+            node >>= 1
+    if out[0]:
+        yield out
 
 
-def related(cluster: list[tuple]) -> Iterator[tuple[bytes, int, list]]:
-    """Of different stretches with one anchor gram, in order: (stretch, windows, entries)
-    of those that may share one of their first `windows` windows with another.
+def shared_windows(table: np.ndarray, agreed: np.ndarray) -> np.ndarray:
+    """How many of each stretch's first windows another may share.
 
+    table has stretch_strings, agreed what each has in common with a neighbour.
     A window that starts j bytes before the anchor is shared only with a stretch
     that agrees on LENGTH - j bytes from the anchor on; in sorted order the longest
     such agreement is with a neighbour.
     """
-    for i, (string, before, mine) in enumerate(cluster):
-        after = cluster[i + 1][1] if i + 1 < len(cluster) else 0
-        right, size = string[-2], string[-1]
-        agreed = min(right, max(before if i else 0, after))
-        windows = min((size - right) - (LENGTH - agreed) + 1, size - LENGTH + 1)
-        if windows > 0:
-            yield string, windows, mine
+    right, size = table[:, -2].astype(np.int64), table[:, -1].astype(np.int64)
+    return np.minimum((size - right) - (LENGTH - np.minimum(right, agreed)) + 1, size - LENGTH + 1)
 
 
 ENTRY = np.dtype([("rk", np.int64), ("doc", np.int64), ("start", np.int32), ("size", np.int32)])
@@ -394,26 +440,60 @@ def packed_entries(about: np.ndarray) -> bytes:
     return fixed + b"".join(_planes(np.ascontiguousarray(a)) for a in (place.astype(np.uint32), about["start"], about["size"]))
 
 
-def unpacked_entries(raw: bytes) -> list[tuple]:
+def unpacked_entries(raw: bytes) -> np.ndarray:
     n, docs = np.frombuffer(raw, np.int64, 2).tolist()
-    who, doc = np.frombuffer(raw, np.int64, docs, 16), np.frombuffer(raw, np.int64, docs, 16 + 8 * docs)
     place, at = _unplanes(raw, 16 + 16 * docs, n, np.uint32)
-    start, at = _unplanes(raw, at, n, np.int32)
-    size, _ = _unplanes(raw, at, n, np.int32)
-    return list(zip(who[place].tolist(), doc[place].tolist(), start.tolist(), size.tolist(), strict=True))
+    out = np.zeros(n, ENTRY)
+    out["rk"], out["doc"] = np.frombuffer(raw, np.int64, docs, 16)[place], np.frombuffer(raw, np.int64, docs, 16 + 8 * docs)[place]
+    out["start"], at = _unplanes(raw, at, n, np.int32)
+    out["size"], _ = _unplanes(raw, at, n, np.int32)
+    return out
 
 
 COVER = "rk bigint, start int, size int"
 
 
-def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, head: int, group: int) -> tuple[DataFrame, DataFrame]:
+def string_hashes(table: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    factor = np.cumprod(np.full(table.shape[1], _BASE))
+    return mix(np.concatenate([table[lo : lo + 4096].astype(np.uint64) @ factor for lo in range(0, len(table), 4096)] or [np.zeros(0, np.uint64)]))
+
+
+def splitters_of(strings, make, width: int, entries: int, ranges: int) -> np.ndarray:
+    """Strings that cut the sorted order of make's strings into about equal ranges.
+
+    strings(condition) gives the rows of a sample.  About DRAWS different strings a
+    range reach the driver, 64 times RANGES * DRAWS at most.
+    """
+    if ranges < 2:
+        return np.zeros(0, f"S{width}")
+    share = min(1.0, DRAWS * ranges / entries)
+    of_rows = min(1.0, 16 * share)
+    least = np.uint64(min(share / of_rows, 1.0) * (2**64 - 2048))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, *_ in make(batches):
+            found = table[string_hashes(table) <= least]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(f"S{width}").ravel().tolist(), pa.binary())], ["string"])
+
+    rows = strings(F.pmod(F.xxhash64(F.lit(3), "rk"), F.lit(1 << 30)) < int((1 << 30) * of_rows))
+    found = rows.mapInArrow(drawn, "string binary").distinct().limit(64 * RANGES * DRAWS).toArrow()
+    every = np.sort(np.array(found.column("string").to_pylist(), f"S{width}"))
+    return np.unique(every[np.linspace(0, len(every) - 1, ranges + 1).astype(int)[1:-1]]) if len(every) else every
+
+
+def merge_sorted(strings, make, width: int, entries: int, group: int) -> tuple[DataFrame, DataFrame]:
     """(covers COVER, neighbours (rk, doc_id, start, size, string)) of a distributed sort.
 
+    strings(condition) gives the input rows that meet a condition on rk (None: all),
     make(batches) yields (strings as rows of width bytes, rk, doc_id, start, size)
-    arrays.  Ranges are cut at splitters, on the first head bytes.  Neighbours are
-    the smallest documents' entries of strings that may share windows with others
-    of the same first `group` bytes; size counts those windows (none if group is 0).
+    arrays of them, about `entries` in all.  Neighbours are the smallest documents'
+    entries of strings that may share windows with others of the same first `group`
+    bytes; size counts those windows (none if group is 0).
     """
+    parts = max(1, -(-entries // PART))
+    splitters = splitters_of(strings, make, width, entries, min(parts, RANGES))
+    lanes = -(-parts // RANGES)
     names = ["part", "run", "entries", "rk", "start", "size"]
 
     def covers(rk: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
@@ -426,7 +506,7 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
         ends = reach[np.append(at[1:], len(rk)) - 1]
         n = len(at)
         return pa.RecordBatch.from_arrays(
-            [pa.array(rk[at] % (len(splitters) + 1), pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(rk[at]), pa.array(start[at].astype(np.int32)), pa.array((ends - start[at]).astype(np.int32))], names
+            [pa.array(rk[at] % parts, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(rk[at]), pa.array(start[at].astype(np.int32)), pa.array((ends - start[at]).astype(np.int32))], names
         )
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,10 +526,14 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
             if gone.any():
                 yield covers(*(about[c][gone] for c in ("rk", "start", "size")))
             table, about = table[~gone], about[~gone]
-            part = np.searchsorted(splitters, np.ascontiguousarray(table[:, :head]).view(f"S{head}").ravel(), "right")
-            edges = np.searchsorted(part, np.arange(len(splitters) + 2))
-            for p in np.flatnonzero(np.diff(edges)):
-                at = slice(edges[p], edges[p + 1])
+            part = np.searchsorted(splitters, table.view(f"S{width}").ravel(), "right")
+            if lanes > 1:
+                part = part * lanes + (string_hashes(table[:, : group or width]) % np.uint64(lanes)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                table, about, part = table[order], about[order], part[order]
+            edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for first, end in zip(edges.tolist(), np.append(edges[1:], len(part)).tolist(), strict=True):
+                at, p = slice(first, end), part[first]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(p)], pa.int32()), pa.array([front_coded(table[at])]), pa.array([packed_entries(about[at])]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], names
                 )
@@ -461,57 +545,61 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
         if held:
             yield from emit()
 
-    runs = strings.mapInArrow(sorted_runs, "part int, run binary, entries binary, " + COVER)
+    runs = strings(None).mapInArrow(sorted_runs, "part int, run binary, entries binary, " + COVER)
     dealt = runs.repartition("part").sortWithinPartitions("part")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            about = [unpacked_entries(e) for _, e in held]
-            out: list[tuple] = []
-            same: list[tuple] = []
-            cluster: list[tuple] = []  # of one group: (string, common prefix with the one before, entries of the smallest document)
-            string, before = b"", 0
-
-            def settle() -> None:
-                least = min(x[1] for x in same)
-                mine = [x for x in same if x[1] == least]
-                out.extend((rk, None, start, size, None) for rk, doc, start, size in same if doc > least)
-                if group:
-                    if cluster and before < group:
-                        close_cluster()
-                    cluster.append((string, before, mine))
-
-            def close_cluster() -> None:
-                for kept, windows, mine in related(cluster):
-                    out.extend((rk, doc, start, windows, kept) for rk, doc, start, _ in mine)
-                cluster.clear()
-
-            for run, number, found, shared in merge_runs([Run(r, width) for r, _ in held]):
-                if same and shared < width:
-                    settle()
-                    same, before = [], shared
-                    if len(out) > 50_000:
-                        yield rows(out)
-                        out.clear()
-                string = found
-                same.append(about[run][number])
-            if same:
-                settle()
-            close_cluster()
-            if out:
-                yield rows(out)
-
-        def rows(out: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["rk", "doc_id", "start", "size", "string"])
+            about = np.concatenate([unpacked_entries(e) for _, e in held])
+            runs = [Run(r, width, max(64, PART // len(held))) for r, _ in held]
+            held.clear()
+            # the group of equal strings that the chunks so far ended with
+            places, shares, kept = [], [], []
+            first = True
+            for more in merge_runs(runs):
+                places, shares, kept = places + more[0], shares + more[1], kept + more[2]
+                starts = np.flatnonzero(np.array(shares) < width)
+                if starts[-1]:
+                    yield from settled(about, places, shares, kept, starts, first)
+                    places, shares, kept, first = places[starts[-1] :], shares[starts[-1] :], kept[starts[-1] :], False
+            yield from settled(about, [*places, -1], [*shares, width - 1], kept, np.array([0, len(places)]), first)
+
+        def settled(about: np.ndarray, places: list, shares: list, kept: list, starts: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
+            """Covers and neighbours of all groups of equal strings but the last."""
+            at, share = np.array(places), np.array(shares)
+            mine = about[at[: starts[-1]]]
+            size = np.diff(starts)
+            gone = mine["doc"] > np.repeat(np.minimum.reduceat(mine["doc"], starts[:-1]), size)
+            if gone.any():
+                yield rows(mine["rk"][gone], pa.nulls(int(gone.sum()), pa.int64()), mine["start"][gone], mine["size"][gone], pa.nulls(int(gone.sum()), pa.binary()))
+            if not group:
+                return
+            agreed = share[starts]
+            if first:
+                agreed[0] = width
+            agreed = np.maximum(agreed[:-1], agreed[1:])
+            near = np.flatnonzero(agreed >= group)
+            if not len(near):
+                return
+            table = np.array([kept[i] for i in starts[near].tolist()], f"S{width}").view(np.uint8).reshape(-1, width)
+            windows = np.zeros(len(size), np.int64)
+            windows[near] = shared_windows(table, agreed[near])
+            n = np.repeat(windows, size)
+            out = np.flatnonzero((n > 0) & ~gone)
+            if len(out):
+                string = pa.array([kept[i] for i in out.tolist()], pa.binary())
+                yield rows(mine["rk"][out], mine["doc"][out], mine["start"][out], n[out].astype(np.int32), string)
+
+        def rows(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["rk", "doc_id", "start", "size", "string"])
 
         for b in batches:
             mine = b.column("rk").is_valid()
             rk, start, size = (b.column(c).filter(mine) for c in ("rk", "start", "size"))
             n = len(rk)
-            yield pa.RecordBatch.from_arrays([rk, pa.nulls(n, pa.int64()), start, size, pa.nulls(n, pa.binary())], ["rk", "doc_id", "start", "size", "string"])
+            yield rows(rk, pa.nulls(n, pa.int64()), start, size, pa.nulls(n, pa.binary()))
             for p, run, entries in zip(*(b.column(c).to_pylist() for c in ("part", "run", "entries")), strict=True):
                 if run is None:
                     continue
@@ -527,35 +615,24 @@ def merge_sorted(strings: DataFrame, make, width: int, splitters: np.ndarray, he
     return done.where("string IS NULL").select("rk", "start", "size"), done.where("string IS NOT NULL")
 
 
-def covered(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def covered(rows: DataFrame) -> DataFrame:
     """COVER of all bytes to remove; a range may come more than once."""
-    spark = rows.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = rows.where("doc_id IS NOT NULL")
-    total = known.count()
-    chosen = known.where(F.pmod(F.xxhash64("rk"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(total, 1)))).limit(SAMPLE)
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, data, offsets in slices(b.column("text")):
-                _, gram, anchor, _, _ = stretches(data, offsets)
-                # a thousandth part of the places, or the row's least
-                pick = np.flatnonzero(gram >> np.uint64(54) == 0) if len(gram) > 1024 else np.arange(len(gram))[:64]
-                yield pa.RecordBatch.from_arrays([pa.array([data[a : a + GRAM].tobytes() for a in anchor[pick]], pa.binary())], ["head"])
-
-    heads = np.sort(np.array([r.head for r in chosen.mapInArrow(sampled, "head binary").collect()], f"S{GRAM}"))
-    splitters = np.unique(heads[np.linspace(0, len(heads) - 1, parts + 1).astype(int)[1:-1]]) if len(heads) else heads
 
     def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             keys, doc_ids = b.column("rk").to_numpy(), b.column("doc_id").to_numpy()
-            picks = [x.to_numpy() for x in map(b.column("picks").slice, range(b.num_rows), [1] * b.num_rows) for x in (x.flatten(),)]
+            picks, sizes = b.column("picks").flatten().to_numpy(), b.column("picks").value_lengths().to_numpy()
+            cuts = np.append(0, np.cumsum(sizes))
             for first, end, data, offsets in _texts(b):
                 row, _, anchor, lo, hi = stretches(data, offsets)
                 starts = np.searchsorted(row, np.arange(end - first))
-                wanted = np.concatenate([picks[first + i] + starts[i] for i in range(end - first)] or [np.zeros(0, np.int64)])
+                wanted = picks[cuts[first] : cuts[end]] + np.repeat(starts, sizes[first:end])
                 row, anchor, lo, hi = row[wanted], anchor[wanted], lo[wanted], hi[wanted]
-                yield stretch_strings(data, anchor, lo, hi), keys[first + row], doc_ids[first + row], lo - offsets[row], hi + LENGTH - lo
+                for at in range(0, len(row), 100_000):
+                    part = slice(at, at + 100_000)
+                    made = stretch_strings(data, anchor[part], lo[part], hi[part])
+                    yield made, keys[first + row[part]], doc_ids[first + row[part]], (lo - offsets[row])[part], (hi + LENGTH - lo)[part]
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
@@ -580,37 +657,46 @@ def covered(rows: DataFrame, texts: DataFrame) -> DataFrame:
     least = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     least = materialize(least, "copied")
     copies = materialize(slim.join(least, ["h1", "h2"]).where("doc_id > least").select("rk", F.lit(0).alias("start"), "size"), "copies")
-    joined = texts.where("doc_id IS NOT NULL").join(shared_stretches(rows, copies), "rk")
-    whole, near = merge_sorted(joined, stretch_rows, WIDE, splitters, GRAM, GRAM)
-    windows, _ = merge_sorted(near, window_rows, LENGTH + 1, splitters, GRAM, 0)
+    text_bytes = slim.agg(F.sum("size")).first()[0] or 0
+    picks = materialize(shared_stretches(rows, copies, max(2, -(-text_bytes // BUCKET_BYTES))), "picks")
+
+    def picked(condition) -> DataFrame:
+        some = known if condition is None else known.where(condition)
+        return compressed(some).join(picks if condition is None else picks.where(condition), "rk")
+
+    entries = picks.agg(F.sum(F.size("picks").cast("bigint"))).first()[0] or 0
+    whole, near = merge_sorted(picked, stretch_rows, WIDE, entries, GRAM)
+    entries = near.agg(F.sum(F.col("size").cast("bigint"))).first()[0] or 0
+    windows, _ = merge_sorted(lambda condition: near if condition is None else near.where(condition), window_rows, LENGTH + 1, entries, 0)
     return whole.unionByName(windows).unionByName(copies)
 
 
 def cut(docs: DataFrame) -> DataFrame:
     """(doc_id, text binary, n_bytes, n_removed, n_spans) of every row; text is what is left."""
     rows = keyed_texts(docs)
-    texts = compressed(rows)
-    spans = covered(rows, texts).groupBy("rk").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = covered(rows).groupBy("rk").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column("spans").to_pylist()
+            lists = b.column("spans")
+            cuts = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            flat = lists.flatten()
+            starts, sizes = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             out = []
             for first, end, data, offsets in _texts(b):
                 for i in range(first, end):
                     text = data[offsets[i - first] : offsets[i - first + 1]]
                     gone = np.zeros(len(text) + 2, np.int32)
-                    if spans[i]:
-                        starts = np.array([s["start"] for s in spans[i]])
-                        np.add.at(gone, starts + 1, 1)
-                        np.add.at(gone, starts + 1 + np.array([s["size"] for s in spans[i]]), -1)
+                    at, size = starts[cuts[i] : cuts[i + 1]], sizes[cuts[i] : cuts[i + 1]]
+                    np.add.at(gone, at + 1, 1)
+                    np.add.at(gone, at + 1 + size, -1)
                     gone = np.cumsum(gone) > 0
                     out.append((text[~gone[1:-1]].tobytes(), len(text), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum())))
             columns = zip(*out, strict=True)
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "text", "n_bytes", "n_removed", "n_spans"])
 
-    return texts.join(spans, "rk", "left").select("doc_id", "z", "spans").mapInArrow(applied, "doc_id bigint, text binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    return compressed(rows).join(spans, "rk", "left").select("doc_id", "z", "spans").mapInArrow(applied, "doc_id bigint, text binary, n_bytes bigint, n_removed bigint, n_spans bigint")
 
 
 def digest(docs: DataFrame) -> DataFrame:
