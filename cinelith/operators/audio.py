@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cinelith.functions.codecs import ima, ima_stereo, westwood
 from cinelith.functions.faults import ERROR, Fault
-from cinelith.operators.container import Movie, parse
+from cinelith.operators.container import Movie, in_blocks, parse
 
 MOST_SAMPLES = 1 << 26
 AUDIO = f"movie_id string, chunk_no int, samples array<smallint>, error {ERROR.simpleString()}"
@@ -53,29 +53,40 @@ def soundtrack(movie: Movie, most: int = MOST_SAMPLES) -> np.ndarray:
 def audio_rows(files: DataFrame) -> DataFrame:
     """Samples of each sound chunk of all movies; a fault is a row after the good ones."""
 
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        n = 0
+        try:
+            for samples in audio_chunks(parse(content)):
+                yield (path, n, samples, None)
+                n += 1
+        except Fault as f:
+            yield (path, n, None, f.row())
+
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows: list[tuple] = []
-                try:
-                    rows += [(path, i, s, None) for i, s in enumerate(audio_chunks(parse(content)))]
-                except Fault as f:
-                    rows.append((path, len(rows), None, f.row()))
-                yield pd.DataFrame(rows, columns=["movie_id", "chunk_no", "samples", "error"])
+                yield from in_blocks(rows_of(path, content), ["movie_id", "chunk_no", "samples", "error"])
 
     return files.select("path", "content").mapInPandas(decoded, AUDIO)
 
 
 def soundtracks(audio: DataFrame, most: int = MOST_SAMPLES) -> DataFrame:
-    """movie_id, samples, error: whole soundtracks from audio_rows (F1)."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "samples")))
-    # an over-long soundtrack is found by its size before anything is gathered
-    size = audio.groupBy("movie_id").agg(F.sum(F.coalesce(F.size("samples"), F.lit(0))).alias("n"), F.first("error", ignorenulls=True).alias("error"))
-    fits = audio.join(size.where(F.col("n") <= most).select("movie_id"), "movie_id").where("error IS NULL")
-    samples = fits.groupBy("movie_id").agg(F.flatten(F.transform(ordered, lambda x: x["samples"])).alias("samples"))
+    """movie_id, samples, error: whole soundtracks from audio_rows (F1).
+
+    One pass over the sound: a chunk that ends beyond `most` samples goes on
+    without them, so what is gathered stays below most plus one chunk.
+    """
+    size = F.coalesce(F.size("samples"), F.lit(0)).cast("bigint")
+    before = Window.partitionBy("movie_id").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    timed = audio.withColumn("so_far", F.coalesce(F.sum(size).over(before), F.lit(0).cast("bigint")))
+    kept = F.struct("chunk_no", F.when(F.col("so_far") <= most, F.col("samples")).alias("samples"))
+    whole = timed.groupBy("movie_id").agg(
+        F.max(F.col("so_far") + size).alias("n"), F.first("error", ignorenulls=True).alias("error"), F.array_sort(F.collect_list(kept)).alias("parts")
+    )
     too_large = F.struct(F.lit("TooLarge").alias("kind"), F.lit("Soundtrack").alias("cause"))
     error = F.when(F.col("n") > most, too_large).otherwise(F.when(F.col("error").isNotNull(), F.struct("error.kind", "error.cause")))
-    return size.join(samples, "movie_id", "left").select("movie_id", "samples", error.alias("error"))
+    samples = F.flatten(F.transform("parts", lambda x: x["samples"]))
+    return whole.select("movie_id", error.alias("error"), samples.alias("samples")).select("movie_id", F.when(F.col("error").isNull(), F.col("samples")).alias("samples"), "error")
 
 
 def frame_at(seconds, frame_rate):

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from cinelith.functions.faults import ERROR, Fault
 
 BODY = 62
 HEADER_AT = 12
+HEADER_START = b"VQHD" + (42).to_bytes(4, "big")
 _ID = re.compile(rb"[A-Z0-9]*")
 
 # Header fields as (name, offset, bytes).
@@ -25,6 +27,8 @@ FIELDS = (
 )
 CONTAINERS = ("VQFR", "VQFK")
 TABLES = ("VPT0", "VPTZ", "VPTK", "VPTD")
+SIDE = ("CBF0", "CBFZ", "CBP0", "CBPZ", "CPL0", "CPLZ")
+SOUND = ("SND0", "SND1", "SND2")
 
 
 @dataclass
@@ -113,20 +117,26 @@ def schedule_of(data: bytes) -> list[int]:
 
 
 def is_frame_data(chunk_id: str) -> bool:
-    return chunk_id in (*CONTAINERS, *TABLES, "VQFL")
+    """Chunks behind which no index or schedule is looked for."""
+    return chunk_id in (*CONTAINERS, "VQFL", *SOUND, *TABLES, *SIDE)
+
+
+def ends_frame(chunk_id: str) -> bool:
+    """Top-level chunks that make a frame, in either layout."""
+    return chunk_id in (*CONTAINERS, *TABLES)
 
 
 def parse(content: bytes) -> Movie:
     if len(content) < HEADER_AT:
-        cut = content and all(b"FORM".startswith(content[:4]) for _ in (0,)) and b"WVQA".startswith(content[8:12])
+        cut = content and b"FORM".startswith(content[:4]) and b"WVQA".startswith(content[8:12])
         raise Fault("Truncated" if cut else "NotVqa")
     if content[:4] != b"FORM" or content[8:12] != b"WVQA":
         raise Fault("NotVqa")
-    start, wanted = content[HEADER_AT : HEADER_AT + 8], b"VQHD\0\0\0\x2a"
+    start = content[HEADER_AT : HEADER_AT + 8]
     found = start[:4]
     name = found.decode() if len(found) == 4 and _ID.fullmatch(found) else None
-    if start != wanted:
-        raise Fault("Truncated" if len(start) < 8 and wanted.startswith(start) else "InvalidHeader", chunk=name, offset=HEADER_AT)
+    if start != HEADER_START:
+        raise Fault("Truncated" if len(start) < 8 and HEADER_START.startswith(start) else "InvalidHeader", chunk=name, offset=HEADER_AT)
     if len(content) < BODY:
         raise Fault("Truncated", chunk=name, offset=HEADER_AT)
     try:
@@ -176,7 +186,7 @@ def movies(files: DataFrame) -> DataFrame:
     text = lambda at, n: F.substring(b, F.lit(at + 1), F.lit(n)).cast("string")
     start, found = F.hex(F.substring(b, 13, 8)), F.decode(F.substring(b, 13, 4), "ISO-8859-1")
     named = F.when(found.rlike("^[A-Z0-9]{4}$"), found)
-    full = "56514844" + "0000002A"
+    full = HEADER_START.hex().upper()
     cut = (F.length(b) > 0) & F.startswith(F.lit("FORM"), text(0, 4)) & F.startswith(F.lit("WVQA"), text(8, 4))
     kind = (
         F.when((F.length(b) < 12) & cut, "Truncated")
@@ -191,6 +201,19 @@ def movies(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("movie_id"), F.when(kind.isNull(), u32be(b, 4)).alias("form_size"), header.alias("header"), error.alias("error"))
 
 
+def in_blocks(rows: Iterator[tuple], names: list[str], kinds: dict | None = None, most_bytes: int = 8 << 20) -> Iterator[pd.DataFrame]:
+    """Rows as frames of about most_bytes of payload, so that no movie is held whole."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(x.nbytes if isinstance(x, np.ndarray) else len(x) for x in row if isinstance(x, (bytes, np.ndarray)))
+        if size >= most_bytes:
+            yield pd.DataFrame(held, columns=names).astype(kinds or {})
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=names).astype(kinds or {})
+
+
 CHUNKS = f"movie_id string, seq int, parent_seq int, id string, offset bigint, size bigint, data binary, error {ERROR.simpleString()}"
 
 
@@ -201,32 +224,30 @@ def chunks(files: DataFrame, with_payload: bool = True, nested: tuple[str, ...]
     envelope or header cannot be read give that one row.
     """
 
+    names = [c.split()[0] for c in CHUNKS.split(", ")[:8]]
+
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        seq = -1
+        try:
+            for c in parse(content).chunks():
+                seq += 1
+                yield (path, seq, None, c.id, c.offset, len(c.data), c.data if with_payload else None, None)
+                if c.id in nested:
+                    parent = seq
+                    try:
+                        for s in walk(c.data, c.offset + 8, True):
+                            seq += 1
+                            yield (path, seq, parent, s.id, s.offset, len(s.data), s.data if with_payload else None, None)
+                    except Fault as f:
+                        seq += 1
+                        yield (path, seq, parent, None, None, None, None, f.row())
+        except Fault as f:
+            yield (path, seq + 1, None, None, None, None, None, f.row())
+
     def walked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                rows: list[tuple] = []
-
-                def put(c: Chunk, parent: int | None) -> None:
-                    rows.append((path, len(rows), parent, c.id, c.offset, len(c.data), c.data if with_payload else None, None))
-
-                def fail(f: Fault, parent: int | None) -> None:
-                    rows.append((path, len(rows), parent, None, None, None, None, f.row()))
-
-                try:
-                    for c in parse(content).chunks():
-                        put(c, None)
-                        if c.id in nested:
-                            parent = len(rows) - 1
-                            try:
-                                for s in walk(c.data, c.offset + 8, True):
-                                    put(s, parent)
-                            except Fault as f:
-                                fail(f, parent)
-                except Fault as f:
-                    fail(f, None)
-                out = pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")[:8]])
-                out["parent_seq"] = out["parent_seq"].astype("Int32")
-                yield out
+                yield from in_blocks(rows_of(path, content), names, {"parent_seq": "Int32"})
 
     return files.select("path", "content").mapInPandas(walked, CHUNKS)
 

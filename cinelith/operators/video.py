@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,11 +14,16 @@ from pyspark.sql import functions as F
 
 from cinelith.functions.codecs import fnv1a, lcw
 from cinelith.functions.faults import ERROR, Fault
-from cinelith.operators.container import CONTAINERS, TABLES, Chunk, Header, Movie, parse, walk
+from cinelith.operators.container import BODY, CONTAINERS, HEADER_AT, TABLES, Chunk, Header, Movie, ends_frame, in_blocks, parse, walk
 
 MOST_PIXELS = 1 << 24
 
 
+_FIVE = np.arange(32, dtype=np.uint32) * 8 + (np.arange(32, dtype=np.uint32) >> 2)
+#: R, G, B and 255 of each 15-bit pixel, as the bytes of a little-endian word.
+_HICOLOR = (np.uint32(0xFF000000) | _FIVE[None, None, :] << 16 | _FIVE[None, :, None] << 8 | _FIVE[:, None, None]).ravel().astype("<u4")
+
+
 @dataclass
 class Frame:
     width: int
@@ -24,21 +31,30 @@ class Frame:
     pixels: np.ndarray  # uint8 indices, or uint16 HiColor
     palette: np.ndarray | None  # (n, 3) uint8 for indexed frames
 
-    def rgb(self) -> np.ndarray:
-        """(height, width, 3) uint8; an index without a palette entry is black."""
+    def words(self) -> np.ndarray:
+        """(height, width) words whose bytes are R, G, B, 255; an index without a palette entry is black."""
         if self.palette is None:
-            five = np.stack([self.pixels >> s & 31 for s in (10, 5, 0)], -1)
-            return (five * 8 + (five >> 2)).astype(np.uint8)
-        table = np.zeros((256, 3), np.uint8)
-        table[: len(self.palette)] = self.palette
-        return table[self.pixels]
+            return np.take(_HICOLOR, self.pixels & 0x7FFF, mode="clip")
+        table = np.zeros((256, 4), np.uint8)
+        table[: len(self.palette), :3] = self.palette
+        table[:, 3] = 255
+        return np.take(table.view("<u4").ravel(), self.pixels, mode="clip")
 
     def rgba(self) -> np.ndarray:
-        return np.concatenate([self.rgb(), np.full((self.height, self.width, 1), 255, np.uint8)], -1)
+        """(height, width, 4) uint8."""
+        return self.words().view(np.uint8).reshape(self.height, self.width, 4)
+
+    def rgb(self) -> np.ndarray:
+        """(height, width, 3) uint8."""
+        out, whole = np.empty((self.height, self.width, 3), np.uint8), self.rgba()
+        for k in range(3):
+            out[..., k] = whole[..., k]
+        return out
 
     def xrgb(self) -> np.ndarray:
-        r, g, b = np.moveaxis(self.rgb().astype(np.uint32), -1, 0)
-        return r << 16 | g << 8 | b
+        """(height, width) of 0x00RRGGBB."""
+        w = self.words()
+        return (w & 0xFF) << 16 | w & 0xFF00 | w >> 16 & 0xFF
 
     def digest(self, state: int) -> int:
         """FNV-1a over little-endian pixels, then the palette's bytes."""
@@ -55,7 +71,7 @@ def unpack(data: bytes, most: int, too_long: Fault | None = None) -> bytes:
 
 
 class Decoder:
-    """The state one movie's frames are folded over.  copy.deepcopy() is a checkpoint."""
+    """The state one movie's frames are folded over.  Scan.state() is a checkpoint of it."""
 
     def __init__(self, header: Header):
         self.bw, self.bh = header.block_width, header.block_height
@@ -68,10 +84,13 @@ class Decoder:
         self.columns, self.rows = self.width // self.bw, self.height // self.bh
         self.kind = np.dtype("<u2") if self.hicolor else np.dtype(np.uint8)
         self.most_book = min((header.maxblocks or 0xFF00) * self.bw * self.bh * self.kind.itemsize, MOST_PIXELS)
-        self.book = np.zeros((0, self.bh, self.bw), self.kind)
+        #: Solid blocks of each colour, kept behind the codebook's entries.
+        self.fills = np.repeat(np.arange(0 if self.hicolor else 256, dtype=self.kind), self.bw * self.bh).reshape(-1, self.bh * self.bw)
+        self.entries, self.book = 0, self.fills
         self.staged, self.staged_chunks, self.staged_packed = b"", 0, False
         self.palette = np.zeros((0, 3), np.uint8)
-        self.pixels = np.zeros((self.height, self.width), self.kind)
+        #: What each block shows, row by row of blocks; a frame is put together from it.
+        self.blocks = np.zeros((self.columns * self.rows, self.bh * self.bw), self.kind)
 
     # -- codebooks and palettes --
 
@@ -79,7 +98,8 @@ class Decoder:
         if len(data) > self.most_book:
             raise Fault("TooLarge", "Codebook")
         entry = self.bw * self.bh * self.kind.itemsize
-        self.book = np.frombuffer(data[: len(data) // entry * entry], self.kind).reshape(-1, self.bh, self.bw)
+        self.entries = len(data) // entry
+        self.book = np.concatenate([np.frombuffer(data, self.kind, self.entries * self.bw * self.bh).reshape(-1, self.bh * self.bw), self.fills])
 
     def stage(self, data: bytes, packed: bool) -> None:
         if self.staged_chunks and packed != self.staged_packed:
@@ -124,38 +144,30 @@ class Decoder:
         raw = np.frombuffer(table, np.uint8)
         low, high = (raw[::2], raw[1::2]) if self.version == 1 else (raw[:n], raw[n:])
         fill = high == (0xFF if self.version == 1 or self.bh == 4 else 0x0F)
-        entry = high.astype(np.int64) * 256 + low
         if self.version == 1:
-            entry //= 8
-        colour = 255 - low if self.version == 1 else low
-        bad = np.flatnonzero(~fill & (entry >= len(self.book)))
-        drawn = int(bad[0]) if len(bad) else n
-        blocks = np.where(fill[:drawn, None, None], colour[:drawn, None, None], self.book[np.where(fill[:drawn], 0, entry[:drawn])] if len(self.book) else np.uint8(0))
-        grid = self.grid()
-        at = np.arange(drawn)
-        grid[at // max(self.columns, 1), :, at % max(self.columns, 1), :] = blocks
-        if len(bad):
+            entry, colour = np.frombuffer(table, "<u2") >> 3, 255 - low
+        else:
+            entry, colour = high.astype(np.uint16) << 8 | low, low
+        bad = entry >= self.entries
+        bad &= ~fill
+        drawn = int(bad.argmax()) if bad.any() else n
+        source = np.where(fill, self.entries + colour.astype(np.int64), entry)[:drawn]
+        np.take(self.book, source, axis=0, out=self.blocks[:drawn], mode="clip")
+        if drawn < n:
             raise Fault("Video", "BlockIndexOutOfRange")
 
-    def grid(self) -> np.ndarray:
-        """The raster as (block row, line, block column, pixel), a view where the grid fills it."""
-        inner = self.pixels[: self.rows * self.bh, : self.columns * self.bw]
-        strides = (inner.strides[0] * self.bh, inner.strides[0], inner.strides[1] * self.bw, inner.strides[1])
-        return np.lib.stride_tricks.as_strided(inner, (self.rows, self.bh, self.columns, self.bw), strides)
-
     def draw_stream(self, data: bytes) -> None:
         """A HiColor pointer stream."""
         if not self.hicolor:
             raise Fault("Video", "WrongPointerFormat")
-        grid, blocks = self.grid(), self.columns * self.rows
-        at = 0
-        for entry, count, alpha, skip in stream_writes(data, blocks):
-            if entry is not None and entry < len(self.book):
-                source = self.book[entry]
-                keep = (source & 0x8000) == 0 if alpha else np.ones(source.shape, bool)
-                for b in range(at, at + count):
-                    grid[b // self.columns, :, b % self.columns, :][keep] = source[keep]
-            at += count + skip
+        n = self.columns * self.rows
+        for block, entry, alpha in stream_runs(data, n):
+            known = entry < self.entries
+            block, entry, alpha = block[known], entry[known], alpha[known]
+            drawn = self.book[entry]
+            if alpha.any():
+                drawn = np.where(alpha[:, None] & (drawn >> 15 == 1), self.blocks[block], drawn)
+            self.blocks[block] = drawn
 
     def frame_chunk(self, c: Chunk) -> None:
         if self.side(c):
@@ -172,13 +184,16 @@ class Decoder:
 
     def decode_frame(self, data: bytes, base: int = 0) -> Frame:
         """One frame from its sub-chunks."""
+        self.apply(data, base)
+        return self.frame()
+
+    def apply(self, data: bytes, base: int = 0) -> None:
         for c in walk(data, base, True):
             try:
                 self.frame_chunk(c)
             except Fault as f:
                 raise f.place(c.id, c.offset) from None
         self.end_frame()
-        return self.frame()
 
     def refresh(self, data: bytes, base: int = 0) -> None:
         """A VQFL: codebooks and palettes only."""
@@ -188,16 +203,77 @@ class Decoder:
             except Fault as f:
                 raise f.place(c.id, c.offset) from None
 
+    @property
+    def pixels(self) -> np.ndarray:
+        """The raster; what lies right of or below the blocks stays 0."""
+        out = np.zeros((self.height, self.width), self.kind)
+        high, wide = self.rows * self.bh, self.columns * self.bw
+        line, blocks = self.bw * self.kind.itemsize, self.blocks
+        if line in (2, 4, 8):
+            # a block's line moves as one word
+            blocks = blocks.view(f"<u{line}")
+        shown = blocks.reshape(self.rows, self.columns, self.bh, blocks.shape[1] // self.bh).swapaxes(1, 2)
+        out[:high, :wide] = np.ascontiguousarray(shown).view(self.kind).reshape(high, wide)
+        return out
+
     def frame(self) -> Frame:
-        return Frame(self.width, self.height, self.pixels.copy(), None if self.hicolor else self.palette)
+        return Frame(self.width, self.height, self.pixels, None if self.hicolor else self.palette)
 
 
-def stream_writes(data: bytes, blocks: int) -> Iterator[tuple[int | None, int, bool, int]]:
-    """(entry, blocks written, alpha, blocks skipped) of a pointer stream.
+def stream_runs(data: bytes, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(block, entry, alpha) arrays of a pointer stream's writes, none of them twice.
+
+    Only where a command starts depends on the one before it.  Most take two
+    bytes, so that chain is followed from one longer command to the next; then all
+    commands up to the first faulty one are expanded at once.  The faulty one is
+    left to stream_writes, which knows what it still draws.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    last = len(raw) - 1
+    word = raw[:-1].astype(np.int32) | raw[1:].astype(np.int32) << 8 if last > 0 else np.zeros(0, np.int32)
+    size = np.array([2, 2, 2, 2, 2, 3, 3, 2])[word >> 13]
+    double = word >> 13 == 2
+    size[double] += 2 * ((word[double] >> 8 & 31) + 1)
+    longer = np.flatnonzero(size != 2)
+    by_parity = [longer[longer % 2 == k].tolist() for k in (0, 1)]
+    froms, tos, at = [], [], 0
+    while at < last:
+        places = by_parity[at & 1]
+        i = bisect_left(places, at)
+        end = places[i] if i < len(places) else last - 1 - (last - 1 - at) % 2
+        froms.append(at)
+        tos.append(end)
+        at = end + int(size[end])
+    first, n = np.array(froms, np.int64), (np.array(tos, np.int64) - np.array(froms, np.int64)) // 2 + 1
+    start = np.repeat(first - 2 * (np.cumsum(n) - n), n) + 2 * np.arange(int(n.sum()))
+    word = word[start]
+    command, run = word >> 13, 2 * ((word >> 8 & 31) + 1)
+    cut = start + size[start] > len(raw)
+    counted = (command == 5) | (command == 6)
+    count = np.select([command == 0, command == 1, command == 2, counted], [0, run, run + 1, raw[np.minimum(start + 2, last)] if len(start) else 0], 1)
+    step = np.where(command == 0, word & 0x1FFF, count)
+    block = np.cumsum(step) - step
+    faulty = cut | (command == 7) | ((count > 0) & (block + count > blocks))
+    good = int(faulty.argmax()) if faulty.any() else len(start)
+    size = count[:good]
+    owner = np.repeat(np.arange(good), size)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    entry = (word & np.where((command == 1) | (command == 2), 0xFF, 0x1FFF))[owner]
+    listed = (command[owner] == 2) & (inner > 0)
+    entry[listed] = raw[start[owner[listed]] + 1 + inner[listed]]
+    yield block[owner] + inner, entry, ((command == 4) | (command == 6))[owner]
+    if good < len(start) or at < len(raw):
+        rest, here = (int(start[good]), int(block[good])) if good < len(start) else (at, int(step.sum()))
+        for one, n, alpha, skip in stream_writes(data, blocks, rest, here):
+            yield np.arange(here, here + n), np.full(n, one if n else 0), np.full(n, alpha)
+            here += n + skip
+
+
+def stream_writes(data: bytes, blocks: int, at: int = 0, block: int = 0) -> Iterator[tuple[int | None, int, bool, int]]:
+    """(entry, blocks written, alpha, blocks skipped) of a pointer stream from byte `at` and `block` on.
 
     Skips may pass the last block, writes may not.
     """
-    at, block = 0, 0
 
     def fits(count: int) -> None:
         if block + count > blocks:
@@ -221,7 +297,7 @@ def stream_writes(data: bytes, blocks: int) -> Iterator[tuple[int | None, int, b
             block += 1
             for place in range(at, at + run):
                 if place >= len(data):
-                    raise Fault("Video", "PointerStreamOverrun" if block >= blocks and place < len(data) else "TruncatedPointerStream")
+                    raise Fault("Video", "TruncatedPointerStream")
                 fits(1)
                 yield data[place], 1, False, 0
                 block += 1
@@ -234,7 +310,7 @@ def stream_writes(data: bytes, blocks: int) -> Iterator[tuple[int | None, int, b
             if at >= len(data):
                 raise Fault("Video", "TruncatedPointerStream")
             count, at = data[at], at + 1
-        if block + count > blocks:
+        if count and block + count > blocks:
             # what still fits is drawn before the fault
             yield entry, max(0, blocks - block), alpha, 0
             raise Fault("Video", "PointerStreamOverrun")
@@ -242,84 +318,169 @@ def stream_writes(data: bytes, blocks: int) -> Iterator[tuple[int | None, int, b
         block += count
 
 
-def frames(movie: Movie) -> Iterator[Frame]:
-    """All frames in order; the first fault ends the scan, placed."""
-    decoder = Decoder(movie.header)
-    number, starts = 0, list(movie.schedule) if not movie.header.cbparts else []
-    waiting: list[Chunk] = []
-
-    def scheduled() -> None:
-        swap = False
-        while starts and starts[0] <= number:
-            swap |= starts.pop(0) == number
-        if swap:
-            decoder.swap()
-
-    def lead_up() -> None:
-        """The swap due at this frame, then what stands before it."""
-        scheduled()
-        for c in waiting:
-            try:
-                decoder.refresh(c.data, c.offset + 8) if c.id == "VQFL" else decoder.side(c)
-            except Fault as f:
-                raise f.place(c.id, c.offset) from None
-        waiting.clear()
+class Scan:
+    """A movie's frames in order; the first fault ends it, placed.
 
-    try:
-        for c in movie.chunks():
-            if c.id not in CONTAINERS and c.id not in TABLES:
-                if c.id == "VQFL" or c.id[:2] == "CB" or c.id[:3] == "CPL":
-                    waiting.append(c)
-                continue
-            lead_up()
-            try:
-                if c.id in CONTAINERS:
-                    yield decoder.decode_frame(c.data, c.offset + 8)
-                else:
-                    decoder.frame_chunk(c)
-                    decoder.end_frame()
-                    yield decoder.frame()
-            except Fault as f:
-                raise f.place(c.id, c.offset) from None
-            number += 1
-        for c in waiting:
-            try:
-                decoder.refresh(c.data, c.offset + 8) if c.id == "VQFL" else decoder.side(c)
-            except Fault as f:
-                raise f.place(c.id, c.offset) from None
-    except Fault as f:
-        raise f.place(frame=number) from None
+    state() is all that a later scan needs to go on from here (E4): decoder,
+    frame number, what is left of the schedule, and the place in the body.
+    """
+
+    def __init__(self, movie: Movie):
+        self.movie = movie
+        try:
+            self.decoder = Decoder(movie.header)
+        except Fault as f:
+            raise f.place("VQHD", HEADER_AT) from None
+        self.number, self.at = 0, 0
+        # with a part count in the header the schedule has no say
+        self.starts = [] if movie.header.cbparts else list(movie.schedule)
+        self.begun = False
+
+    def state(self) -> bytes:
+        return pickle.dumps((self.decoder, self.number, self.at, self.starts, self.begun))
+
+    @classmethod
+    def resumed(cls, movie: Movie, state: bytes) -> Scan:
+        scan = cls(movie)
+        scan.decoder, scan.number, scan.at, scan.starts, scan.begun = pickle.loads(state)
+        return scan
+
+    def begin(self) -> None:
+        """The swap that is due at the frame ahead, if there is one, before any chunk of that frame."""
+        if self.begun:
+            return
+        self.begun, due = True, False
+        while self.starts and self.starts[0] <= self.number:
+            due |= self.starts.pop(0) == self.number
+        if due and self.frame_ahead():
+            self.decoder.swap()
+
+    def frame_ahead(self) -> bool:
+        try:
+            return any(ends_frame(c.id) for c in walk(self.movie.body[self.at :]))
+        except Fault:
+            return False
+
+    def run(self, shown=lambda number: True) -> Iterator[tuple[int, Frame | None]]:
+        """(number, frame) of each frame; only those that shown() accepts are put together."""
+        decoder = self.decoder
+        try:
+            self.begin()
+            for c in walk(self.movie.body[self.at :], BODY + self.at):
+                self.at = c.offset - BODY + 8 + len(c.data) + len(c.data) % 2
+                try:
+                    if c.id in CONTAINERS:
+                        decoder.apply(c.data, c.offset + 8)
+                    elif c.id in TABLES:
+                        decoder.frame_chunk(c)
+                        decoder.end_frame()
+                    elif c.id == "VQFL":
+                        decoder.refresh(c.data, c.offset + 8)
+                    else:
+                        decoder.side(c)
+                except Fault as f:
+                    raise f.place(c.id, c.offset) from None
+                if ends_frame(c.id):
+                    number, self.number, self.begun = self.number, self.number + 1, False
+                    yield number, decoder.frame() if shown(number) else None
+                    self.begin()
+        except Fault as f:
+            raise f.place(frame=self.number) from None
+
+
+def frames(movie: Movie) -> Iterator[Frame]:
+    for _, frame in Scan(movie).run():
+        yield frame
 
 
 FRAMES = f"movie_id string, frame_no int, width int, height int, format string, pixels binary, palette binary, error {ERROR.simpleString()}"
 
 
+_FRAME_NAMES = [c.split()[0] for c in FRAMES.split(", ")[:8]]
+
+
+def _frame_row(path: str, number: int, f: Frame) -> tuple:
+    indexed = f.palette is not None
+    return (path, number, f.width, f.height, "indexed" if indexed else "hicolor", f.pixels.tobytes(), f.palette.tobytes() if indexed else None, None)
+
+
 def frame_rows(files: DataFrame, first: int = 0, last: int | None = None, every: int = 1) -> DataFrame:
     """The frames of all movies; a movie's fault is a row after its good frames.
 
-    Only frames first..last, every n-th, are copied out; decoding stops at last
+    Only frames first..last, every n-th, are put together; decoding stops at last
     (E2).  One movie is one row's work: movies run in parallel, frames of a movie
-    are a fold.
+    are a fold whose rows leave in blocks.
     """
 
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        number = -1
+        try:
+            for number, f in Scan(parse(content)).run(lambda n: n >= first and (n - first) % every == 0 and (last is None or n <= last)):
+                if last is not None and number > last:
+                    break
+                if f is not None:
+                    yield _frame_row(path, number, f)
+        except Fault as e:
+            yield (path, number + 1, None, None, None, None, None, e.row())
+
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows, number = [], -1
-                try:
-                    for number, f in enumerate(frames(parse(content))):
-                        if last is not None and number > last:
-                            break
-                        if number >= first and (number - first) % every == 0:
-                            indexed = f.palette is not None
-                            rows.append((path, number, f.width, f.height, "indexed" if indexed else "hicolor", f.pixels.tobytes(), f.palette.tobytes() if indexed else None, None))
-                except Fault as e:
-                    rows.append((path, number + 1, None, None, None, None, None, e.row()))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in FRAMES.split(", ")[:8]])
+                yield from in_blocks(rows_of(path, content), _FRAME_NAMES)
 
     return files.select("path", "content").mapInPandas(scanned, FRAMES)
 
 
+def checkpoints(files: DataFrame, every: int) -> DataFrame:
+    """movie_id, frame_no, state: the scan as it stands before every n-th frame.
+
+    A state is as large as a codebook and a raster.  The rows end where a fault ends the scan.
+    """
+
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            scan = Scan(parse(content))
+            yield (path, 0, scan.state())
+            for number, _ in scan.run(lambda n: False):
+                if (number + 1) % every == 0:
+                    yield (path, number + 1, scan.state())
+        except Fault:
+            return
+
+    def saved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                yield from in_blocks(rows_of(path, content), ["movie_id", "frame_no", "state"])
+
+    return files.select("path", "content").mapInPandas(saved, "movie_id string, frame_no int, state binary")
+
+
+def resumed_rows(files: DataFrame, states: DataFrame, count: int) -> DataFrame:
+    """The `count` frames from each state of checkpoints() on, as frame_rows() has them.
+
+    States of one movie are rows of their own, so a long movie is decoded by many tasks.
+    """
+
+    def rows_of(path: str, content: bytes, frame_no: int, state: bytes) -> Iterator[tuple]:
+        number = frame_no - 1
+        try:
+            for number, f in Scan.resumed(parse(content), state).run(lambda n: n < frame_no + count):
+                if f is None:
+                    break
+                yield _frame_row(path, number, f)
+                if number + 1 == frame_no + count:
+                    break
+        except Fault as e:
+            yield (path, number + 1, None, None, None, None, None, e.row())
+
+    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in zip(*(batch[c] for c in ("path", "content", "frame_no", "state")), strict=True):
+                yield from in_blocks(rows_of(*row), _FRAME_NAMES)
+
+    return files.select("path", "content").join(states, F.col("path") == F.col("movie_id")).select("path", "content", "frame_no", "state").mapInPandas(scanned, FRAMES)
+
+
 def command_writes(word: Column, count: Column) -> Column:
     """Blocks that one command writes, from its word and the count byte behind it."""
     command, run = F.shiftright(word, 13), F.shiftright(word, 8).bitwiseAND(31) + 1

@@ -20,6 +20,7 @@ from cinelith.functions.faults import message_column
 from cinelith.operators import audio as A
 from cinelith.operators import container as C
 from cinelith.operators import video as V
+from cinelith.plans import movie_queries
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,7 +109,7 @@ SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey
 
 def pcm8_widen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """whole texts as 8-bit sound, summed per text after widening to stereo."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", B.stereo(B.pcm8(F.col("text").cast("binary"))).alias("s"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", B.pcm8_stereo(F.col("text").cast("binary")).alias("s"))
     total = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return rows.select("doc_id", F.size("s").cast("bigint").alias("n_samples"), total.alias("total"), F.get("s", 0).cast("int").alias("first"))
 
@@ -230,55 +231,6 @@ SELECT p_partkey, ((p_partkey % 256 & 63) * 4 + ((p_partkey % 256 & 63) >> 4))::
 """
 
 
-def codebook_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The codebook in force at each event, the last load at or before it."""
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    load = F.when(F.col("event_id") % 7 == 0, F.col("event_id"))
-    return _table(spark, sf_dir, "events").select("event_id", "user_id", F.coalesce(F.last(load, ignorenulls=True).over(before), F.lit(-1)).alias("book"))
-
-
-ASOF_SQL = """
-SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_id % 7 = 0 THEN event_id END IGNORE NULLS) OVER (
-  PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1)::BIGINT AS book FROM events
-"""
-
-
-def vpt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pointer tables drawn as a join: an order is a frame, a line a block, a part an entry.
-
-    Solid colours are 256 more entries of the codebook, so fills need no branch.
-    """
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).cast("int").alias("lo"), (F.col("l_suppkey") % 16).cast("int").alias("hi"))
-    source = F.when(F.col("hi") == 15, F.col("lo")).otherwise(256 + F.col("hi") * 256 + F.col("lo"))
-    book = _table(spark, sf_dir, "part").select((256 + F.col("p_partkey")).cast("int").alias("source"), (F.col("p_size") % 256).cast("int").alias("pixel"))
-    fills = spark.range(256).select(F.col("id").cast("int").alias("source"), F.col("id").cast("int").alias("pixel"))
-    drawn = lines.withColumn("source", source).join(book.unionByName(fills), "source", "left")
-    return drawn.groupBy("l_orderkey").agg(F.count("*").alias("blocks"), F.count("pixel").alias("drawn"), F.coalesce(F.sum("pixel"), F.lit(0)).alias("ink"), F.coalesce(F.min(F.when(F.col("pixel").isNull(), F.col("l_linenumber"))), F.lit(0)).alias("first_bad"))
-
-
-VPT_SQL = """
-WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey % 256 AS lo, l_suppkey % 16 AS hi FROM lineitem),
-s AS (SELECT *, CASE WHEN hi = 15 THEN lo ELSE 256 + hi * 256 + lo END AS source FROM l),
-b AS (SELECT 256 + p_partkey AS source, p_size % 256 AS pixel FROM part UNION ALL SELECT i, i FROM range(256) r(i))
-SELECT l_orderkey, count(*)::BIGINT AS blocks, count(pixel)::BIGINT AS drawn, coalesce(sum(pixel), 0)::BIGINT AS ink, coalesce(min(CASE WHEN pixel IS NULL THEN l_linenumber END), 0)::INTEGER AS first_bad
-FROM s LEFT JOIN b USING (source) GROUP BY l_orderkey
-"""
-
-
-def vptr_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differential writes; a block shows its last write, its position is a running sum of skips."""
-    running = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    skip = (F.col("event_id") % 5 + 1).alias("skip")
-    writes = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", skip).withColumn("block", F.sum("skip").over(running) % 64)
-    return writes.groupBy("user_id", "block").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("shown"), F.count("*").alias("writes"))
-
-
-VPTR_SQL = """
-WITH w AS (SELECT user_id, ts, event_id, (sum(event_id % 5 + 1) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) % 64)::BIGINT AS block FROM events)
-SELECT user_id, block, arg_max(event_id, (ts, event_id)) AS shown, count(*)::BIGINT AS writes FROM w GROUP BY user_id, block
-"""
-
-
 def hicolor_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part keys as 15-bit pixels, as RGB and XRGB."""
     pixel = (F.col("l_partkey") % 65536).cast("int")
@@ -307,33 +259,6 @@ FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 32
 """
 
 
-def every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third chunk of a file is a frame to dump."""
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
-    rows = _table(spark, sf_dir, "conversations").select("conv_id", number.alias("frame_no"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
-    return rows.where(F.col("frame_no") % 3 == 0)
-
-
-NTH_SQL = """
-WITH t AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INTEGER AS frame_no, strlen(coalesce(text, ''))::INTEGER AS size FROM conversations)
-SELECT * FROM t WHERE frame_no % 3 = 0
-"""
-
-
-def mixdown_av(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """two samples to one, cut toward zero, and the frame shown at the sample's time."""
-    s = F.floor(F.col("value") * 100).cast("bigint") % 32768
-    l, r = s, (16384 - s)
-    mean = ((l + r * 3) / 2).cast("bigint")
-    return _table(spark, sf_dir, "events").select("event_id", mean.alias("mono"), F.floor(F.col("event_id") / 22050 * 15).cast("int").alias("frame_no"))
-
-
-MIX_SQL = """
-WITH t AS (SELECT event_id, floor(value * 100)::BIGINT % 32768 AS s FROM events)
-SELECT event_id, trunc((s + (16384 - s) * 3) / 2)::BIGINT AS mono, floor(event_id / 22050 * 15)::INTEGER AS frame_no FROM t
-"""
-
-
 def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's file cut at a byte of its own, and what the walk says of it."""
     files = _conversation_files(spark, sf_dir)
@@ -418,15 +343,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         header_fields, chunk_walk, chunk_stats, finf_decode, pcm8_widen, pcm16_le, ima_adpcm, lcw_roundtrip, westwood_adpcm, fnv1a_digest, palette_scale,
-        codebook_asof, vpt_render, vptr_pixels, hicolor_convert, indexed_convert, every_nth, mixdown_av, error_report, swap_frames, codebook_parts,
-        vptr_writes, resample_linear,
+        hicolor_convert, indexed_convert, error_report, swap_frames, codebook_parts, vptr_writes, resample_linear,
     )
-}
+} | movie_queries.QUERIES
 
 ORACLES: dict[str, str] = {
     "header_fields": HEADER_SQL, "chunk_walk": CHUNK_WALK_SQL, "chunk_stats": CHUNK_STATS_SQL, "finf_decode": FINF_SQL, "pcm8_widen": PCM8_SQL,
     "pcm16_le": PCM16_SQL, "ima_adpcm": IMA_SQL, "lcw_roundtrip": LCW_SQL, "westwood_adpcm": WESTWOOD_SQL, "fnv1a_digest": FNV_SQL,
-    "palette_scale": PALETTE_SQL, "codebook_asof": ASOF_SQL, "vpt_render": VPT_SQL, "vptr_pixels": VPTR_SQL, "hicolor_convert": HICOLOR_SQL,
-    "indexed_convert": INDEXED_SQL, "every_nth": NTH_SQL, "mixdown_av": MIX_SQL, "error_report": ERROR_SQL,
+    "palette_scale": PALETTE_SQL, "hicolor_convert": HICOLOR_SQL, "indexed_convert": INDEXED_SQL, "error_report": ERROR_SQL,
     "swap_frames": SWAP_SQL, "codebook_parts": PARTS_SQL, "vptr_writes": WRITES_SQL, "resample_linear": RESAMPLE_SQL,
-}
+} | movie_queries.ORACLES

@@ -63,7 +63,7 @@ def test_palette_and_conversions():
     d = decoder(PLAIN)
     d.set_palette(bytes.fromhex("0110202a303e60a1d5"))
     assert d.palette.tolist() == [[4, 65, 130], [170, 195, 251], [130, 134, 85]]
-    d.pixels[0, :4] = [0, 1, 2, 200]
+    d.blocks[0, :4] = [0, 1, 2, 200]
     f = d.frame()
     assert f.rgb()[0, 3].tolist() == [0, 0, 0] and f.rgba()[0, 3].tolist() == [0, 0, 0, 255]
     assert f.xrgb()[0, 1] == 0xAAC3FB
