@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinelith.llm.shared import materialize, whole_text
-from cinelith.llm.text import SLICE, mix, slices
+from cinelith.llm.text import mix, slices
 
 LENGTH = 50
 GRAM = 24
@@ -57,7 +57,9 @@ PART = 200_000  # entries of a part of a sort
 BUCKET_BYTES = 8 << 20  # bytes of text whose grams make a bucket
 RANGES = 4096
 DRAWS = 32
+SLICE = 1 << 18  # bytes of text worked on at once (one text at least)
 _HOLD = 600_000
+_ROWS = 16_384
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,12 +132,12 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
     import zstandard
 
     tool = zstandard.ZstdDecompressor()
-    packed = b.column("z").to_pylist()
+    packed = b.column("z")
     lo = 0
     while lo < len(packed):
         texts, held = [], 0
-        while lo + len(texts) < len(packed) and (not texts or held < SLICE // 2):
-            texts.append(tool.decompress(packed[lo + len(texts)]))
+        while lo + len(texts) < len(packed) and (not texts or held < SLICE):
+            texts.append(tool.decompress(packed[lo + len(texts)].as_py()))
             held += len(texts[-1])
         offsets = np.append(0, np.cumsum([len(t) for t in texts]))
         yield lo, lo + len(texts), np.frombuffer(b"".join(texts), np.uint8), offsets
@@ -200,7 +202,7 @@ def shared_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFr
 
         for b in batches:
             doc_ids, keys = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("rk").to_numpy()
-            for lo, hi, data, offsets in slices(b.column("text")):
+            for lo, hi, data, offsets in slices(b.column("text"), SLICE):
                 row, gram, _, _, _ = stretches(data, offsets)
                 if not len(row):
                     continue
@@ -248,14 +250,14 @@ def shared_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFr
             lists = b.column("picks").filter(mine)
             if len(lists):
                 yield from directed(np.repeat(b.column("rk").filter(mine).to_numpy(), lists.value_lengths().to_numpy()), lists.flatten().to_numpy())
-            for k, entries in zip(b.column("bucket").to_pylist(), b.column("entries").to_pylist(), strict=True):
-                if entries is None:
+            for k, entries in zip(b.column("bucket").to_pylist(), b.column("entries"), strict=True):
+                if not entries.is_valid:
                     continue
                 if k != bucket:
                     if held:
                         yield from close()
                     bucket, held = k, []
-                held.append(entries)
+                held.append(entries.as_py())
         if held:
             yield from close()
 
@@ -270,7 +272,8 @@ def shared_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFr
             yield pa.RecordBatch.from_arrays(list(_per_row(rk[fresh], number[fresh])), ["rk", "picks"])
 
         for b in batches:
-            for k, raw in zip(b.column("target").to_pylist(), b.column("raw").to_pylist(), strict=True):
+            for k, packed in zip(b.column("target").to_pylist(), b.column("raw"), strict=True):
+                raw = packed.as_py()
                 if k != target:
                     if held:
                         yield from close()
@@ -553,7 +556,7 @@ def merge_sorted(strings, make, width: int, entries: int, group: int) -> tuple[D
 
         def close() -> Iterator[pa.RecordBatch]:
             about = np.concatenate([unpacked_entries(e) for _, e in held])
-            runs = [Run(r, width, max(64, PART // len(held))) for r, _ in held]
+            runs = [Run(r, width, max(64, PART // (4 * len(held)))) for r, _ in held]
             held.clear()
             # the group of equal strings that the chunks so far ended with
             places, shares, kept = [], [], []
@@ -600,14 +603,14 @@ def merge_sorted(strings, make, width: int, entries: int, group: int) -> tuple[D
             rk, start, size = (b.column(c).filter(mine) for c in ("rk", "start", "size"))
             n = len(rk)
             yield rows(rk, pa.nulls(n, pa.int64()), start, size, pa.nulls(n, pa.binary()))
-            for p, run, entries in zip(*(b.column(c).to_pylist() for c in ("part", "run", "entries")), strict=True):
-                if run is None:
+            for p, run, entries in zip(b.column("part").to_pylist(), b.column("run"), b.column("entries"), strict=True):
+                if not run.is_valid:
                     continue
                 if p != part:
                     if held:
                         yield from close()
                     part, held = p, []
-                held.append((run, entries))
+                held.append((run.as_py(), entries.as_py()))
         if held:
             yield from close()
 
@@ -629,8 +632,8 @@ def covered(rows: DataFrame) -> DataFrame:
                 starts = np.searchsorted(row, np.arange(end - first))
                 wanted = picks[cuts[first] : cuts[end]] + np.repeat(starts, sizes[first:end])
                 row, anchor, lo, hi = row[wanted], anchor[wanted], lo[wanted], hi[wanted]
-                for at in range(0, len(row), 100_000):
-                    part = slice(at, at + 100_000)
+                for at in range(0, len(row), _ROWS):
+                    part = slice(at, at + _ROWS)
                     made = stretch_strings(data, anchor[part], lo[part], hi[part])
                     yield made, keys[first + row[part]], doc_ids[first + row[part]], (lo - offsets[row])[part], (hi + LENGTH - lo)[part]
 
@@ -644,8 +647,8 @@ def covered(rows: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(strings)), n)
             inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             at = (np.cumsum(sizes) - sizes)[owner] + inner
-            for lo in range(0, len(at), 100_000):
-                part = slice(lo, lo + 100_000)
+            for lo in range(0, len(at), _ROWS):
+                part = slice(lo, lo + _ROWS)
                 # the last byte keeps a closing zero byte of the text from being taken for padding
                 table = np.ones((len(at[part]), LENGTH + 1), np.uint8)
                 table[:, :-1] = data[at[part][:, None] + np.arange(LENGTH)]
