@@ -88,32 +88,65 @@ def westwood(chunk: bytes) -> np.ndarray:
     data = chunk[4:]
     if size == packed:
         return np.frombuffer(data[:size], np.uint8)
-    out: list[int] = []
-    sample, at = 0x80, 0
-    while at < len(data) and len(out) < size:
+    out: list[np.ndarray] = []
+    sample, at, n_out = 0x80, 0, 0
+    while at < len(data) and n_out < size:
         op, at = data[at], at + 1
         kind, n = op >> 6, (op & 63) + 1
         if kind == 3:
-            out += [sample] * n
+            out.append(np.full(n, sample))
         elif kind == 2 and op & 32:
-            move = (op & 31) - (32 if op & 16 else 0)
-            sample = (sample + move) % 256
-            out.append(sample)
+            sample = (sample + (op & 31) - (32 if op & 16 else 0)) % 256
+            out.append(np.array([sample]))
         else:
-            block = data[at : at + n]
+            block = np.frombuffer(data[at : at + n], np.uint8).astype(np.int64)
             if len(block) < n:
                 break
             at += n
-            if kind == 2:
-                out += block
-                sample = block[-1]
-                continue
-            for byte in block:
-                moves = [(byte >> s & 3) - 2 for s in (0, 2, 4, 6)] if kind == 0 else [NIBBLE_MOVES[byte & 15], NIBBLE_MOVES[byte >> 4]]
-                for move in moves:
-                    sample = min(255, max(0, sample + move))
-                    out.append(sample)
-    return np.array(out[:size], np.uint8)
+            if kind == 0:
+                block = clamped_sums(((block[:, None] >> _TWO_BITS & 3) - 2).ravel(), 0, 255, sample)
+            elif kind == 1:
+                block = clamped_sums(_NIBBLES[np.stack([block & 15, block >> 4], 1).ravel()], 0, 255, sample)
+            out.append(block)
+            sample = int(block[-1])
+        n_out += len(out[-1])
+    return np.concatenate(out)[:size].astype(np.uint8) if out else np.zeros(0, np.uint8)
+
+
+def clamped_sums(moves: np.ndarray, low: int, high: int, start: int, lanes: int = 64) -> np.ndarray:
+    """x after each x = min(high, max(low, x + move)), from x = start.
+
+    A step, and so any row of steps, is a map x -> min(h, max(l, x + d)).  Long
+    inputs are cut into rows: all rows' maps are put together side by side, one
+    step at a time; then the rows' first values follow from these maps.
+    """
+    sums = np.cumsum(moves) + start
+    if not len(sums) or (sums.min() >= low and sums.max() <= high):
+        return sums
+    if len(moves) < 8 * lanes:
+        out, x = [], start
+        for move in moves.tolist():
+            x = min(high, max(low, x + move))
+            out.append(x)
+        return np.array(out, np.int64)
+    rows = -(-len(moves) // lanes)
+    padded = np.zeros(rows * lanes, np.int64)
+    padded[: len(moves)] = moves
+    table = np.ascontiguousarray(padded.reshape(rows, lanes).T)
+    d, least, most = np.zeros(rows, np.int64), np.full(rows, low), np.full(rows, high)
+    for step in table:
+        d += step
+        least = np.minimum(np.maximum(least + step, low), high)
+        most = np.minimum(np.maximum(most + step, low), high)
+    first, x = [], start
+    for move, l, h in zip(d.tolist(), least.tolist(), most.tolist(), strict=True):
+        first.append(x)
+        x = min(h, max(l, x + move))
+    now, out = np.array(first, np.int64), np.empty_like(table)
+    for k, step in enumerate(table):
+        now = np.minimum(np.maximum(now + step, low), high)
+        out[k] = now
+    return out.T.ravel()[: len(moves)]
 
 
 def _difference(step: int, code: int) -> int:
@@ -121,23 +154,27 @@ def _difference(step: int, code: int) -> int:
     return -size if code & 8 else size
 
 
-#: By step index and code: what is added, and the next index.
-_ADD = [[_difference(s, c) for c in range(16)] for s in STEPS]
-_NEXT = [[min(88, max(0, i + INDEX_MOVES[c & 7])) for c in range(16)] for i in range(89)]
+#: By step index and code: what is added.
+_ADD = np.array([[_difference(s, c) for c in range(16)] for s in STEPS])
+_MOVES, _NIBBLES, _TWO_BITS = np.array(INDEX_MOVES), np.array(NIBBLE_MOVES), np.array([0, 2, 4, 6])
 
 
-def ima(data: bytes, sample: int = 0, index: int = 0) -> tuple[list[int], int, int]:
-    """(two samples a byte, low nibble first; the state after)."""
-    out = []
-    for byte in data:
-        for code in (byte & 15, byte >> 4):
-            sample = min(32767, max(-32768, sample + _ADD[index][code]))
-            index = _NEXT[index][code]
-            out.append(sample)
-    return out, sample, index
+def ima(data: bytes, sample: int = 0, index: int = 0) -> tuple[np.ndarray, int, int]:
+    """(two samples a byte, low nibble first; the state after).
+
+    The step index follows from the codes alone, the samples from codes and
+    indices; both are sums that are clamped at every step.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int16), sample, index
+    code = np.stack([raw & 15, raw >> 4], 1).ravel()
+    after = clamped_sums(_MOVES[code & 7], 0, 88, index)
+    samples = clamped_sums(_ADD[np.append(index, after[:-1]), code], -32768, 32767, sample)
+    return samples.astype(np.int16), int(samples[-1]), int(after[-1])
 
 
-def ima_stereo(data: bytes, version: int, left: tuple[int, int], right: tuple[int, int]) -> tuple[list[int], tuple[int, int], tuple[int, int]]:
+def ima_stereo(data: bytes, version: int, left: tuple[int, int], right: tuple[int, int]) -> tuple[np.ndarray, tuple[int, int], tuple[int, int]]:
     """Interleaved samples of a stereo chunk and both states after it.
 
     Version 3 holds the left half before the right half, others alternate bytes.
@@ -147,7 +184,7 @@ def ima_stereo(data: bytes, version: int, left: tuple[int, int], right: tuple[in
     one, two = (data[:half], data[half:]) if version == 3 else (data[::2], data[1::2])
     l, *left = ima(one, *left)
     r, *right = ima(two, *right)
-    return [s for pair in zip(l[: 2 * half], r[: 2 * half], strict=True) for s in pair], tuple(left), tuple(right)
+    return np.stack([l[: 2 * half], r[: 2 * half]], 1).ravel(), tuple(left), tuple(right)
 
 
 def fnv1a(data: bytes, digest: int = 0xCBF29CE484222325) -> int:

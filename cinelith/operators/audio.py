@@ -33,11 +33,11 @@ def audio_chunks(movie: Movie) -> Iterator[np.ndarray]:
             yield np.repeat(mono, 2) if two else mono
         elif c.id == "SND2" and two:
             samples, left, right = ima_stereo(c.data, h.version, left, right)
-            yield np.array(samples, np.int16)
+            yield samples
         elif c.id == "SND2":
-            samples, *left = ima(c.data, *left)
-            left = tuple(left)
-            yield np.array(samples, np.int16)
+            samples, *state = ima(c.data, *left)
+            left = tuple(state)
+            yield samples
 
 
 def soundtrack(movie: Movie, most: int = MOST_SAMPLES) -> np.ndarray:

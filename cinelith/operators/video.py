@@ -162,12 +162,19 @@ class Decoder:
             raise Fault("Video", "WrongPointerFormat")
         n = self.columns * self.rows
         for block, entry, alpha in stream_runs(data, n):
-            known = entry < self.entries
-            block, entry, alpha = block[known], entry[known], alpha[known]
-            drawn = self.book[entry]
+            if len(entry) and entry.max() >= self.entries:
+                known = entry < self.entries
+                block, entry, alpha = block[known], entry[known], alpha[known]
+            if not len(block):
+                continue
+            drawn = np.take(self.book, entry, axis=0)
             if alpha.any():
                 drawn = np.where(alpha[:, None] & (drawn >> 15 == 1), self.blocks[block], drawn)
-            self.blocks[block] = drawn
+            first, end = int(block[0]), int(block[-1]) + 1
+            if end - first == len(block):
+                self.blocks[first:end] = drawn
+            else:
+                whole_rows(self.blocks)[block] = whole_rows(drawn)
 
     def frame_chunk(self, c: Chunk) -> None:
         if self.side(c):
@@ -220,48 +227,83 @@ class Decoder:
         return Frame(self.width, self.height, self.pixels, None if self.hicolor else self.palette)
 
 
-def stream_runs(data: bytes, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(block, entry, alpha) arrays of a pointer stream's writes, none of them twice.
+#: By command: blocks written (1, 2, 5 and 6 say how many), the bits of the entry, whether top bits keep pixels.
+_COUNTS = np.array([0, 1, 1, 1, 1, 1, 1, 1])
+_ENTRIES = np.array([0x1FFF, 0xFF, 0xFF, 0x1FFF, 0x1FFF, 0x1FFF, 0x1FFF, 0x1FFF])
+_ALPHA = np.array([False, False, False, False, True, False, True, False])
+
+
+def command_starts(data: bytes) -> tuple[np.ndarray, int]:
+    """Where each command of a pointer stream starts, and where the one behind the last would.
 
-    Only where a command starts depends on the one before it.  Most take two
-    bytes, so that chain is followed from one longer command to the next; then all
-    commands up to the first faulty one are expanded at once.  The faulty one is
-    left to stream_writes, which knows what it still draws.
+    Only this depends on the command before.  Most commands take two bytes, so
+    the chain is followed from one longer command to the next.
     """
+    last = len(data) - 1
+    even = np.frombuffer(data, "<u2", len(data) // 2) >> 13
+    if not np.isin(even, (2, 5, 6)).any():
+        return np.arange(0, len(data) // 2 * 2, 2), len(data) // 2 * 2
     raw = np.frombuffer(data, np.uint8)
-    last = len(raw) - 1
-    word = raw[:-1].astype(np.int32) | raw[1:].astype(np.int32) << 8 if last > 0 else np.zeros(0, np.int32)
-    size = np.array([2, 2, 2, 2, 2, 3, 3, 2])[word >> 13]
-    double = word >> 13 == 2
-    size[double] += 2 * ((word[double] >> 8 & 31) + 1)
-    longer = np.flatnonzero(size != 2)
-    by_parity = [longer[longer % 2 == k].tolist() for k in (0, 1)]
+    high = raw[1:].astype(np.int64)
+    command = high >> 5
+    longer = np.flatnonzero((command == 2) | (command >= 5) & (command < 7))
+    size = np.where(command[longer] == 2, 2 * (high[longer] & 31) + 4, 3)
+    by_parity = [(longer[longer % 2 == k].tolist(), size[longer % 2 == k].tolist()) for k in (0, 1)]
     froms, tos, at = [], [], 0
     while at < last:
-        places = by_parity[at & 1]
+        places, sizes = by_parity[at & 1]
         i = bisect_left(places, at)
-        end = places[i] if i < len(places) else last - 1 - (last - 1 - at) % 2
         froms.append(at)
-        tos.append(end)
-        at = end + int(size[end])
-    first, n = np.array(froms, np.int64), (np.array(tos, np.int64) - np.array(froms, np.int64)) // 2 + 1
-    start = np.repeat(first - 2 * (np.cumsum(n) - n), n) + 2 * np.arange(int(n.sum()))
-    word = word[start]
+        if i < len(places):
+            tos.append(places[i])
+            at = places[i] + sizes[i]
+        else:
+            tos.append(last - 1 - (last - 1 - at) % 2)
+            at = tos[-1] + 2
+    first = np.array(froms, np.int64)
+    n = (np.array(tos, np.int64) - first) // 2 + 1
+    return np.repeat(first - 2 * (np.cumsum(n) - n), n) + 2 * np.arange(int(n.sum())), at
+
+
+def whole_rows(table: np.ndarray) -> np.ndarray:
+    """Rows as items where a type is as wide, so that each moves at once; bits are copied, not read."""
+    kind = {8: "<u8", 16: "<c16"}.get(table.shape[1] * table.itemsize)
+    return table.view(kind).ravel() if kind else table
+
+
+def stream_runs(data: bytes, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(block, entry, alpha) arrays of a pointer stream's writes, none of them twice.
+
+    All commands up to the first faulty one are expanded at once.  The faulty one
+    is left to stream_writes, which knows what it still draws.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    start, at = command_starts(data)
+    word = raw[start].astype(np.int64) | raw[start + 1].astype(np.int64) << 8
     command, run = word >> 13, 2 * ((word >> 8 & 31) + 1)
-    cut = start + size[start] > len(raw)
-    counted = (command == 5) | (command == 6)
-    count = np.select([command == 0, command == 1, command == 2, counted], [0, run, run + 1, raw[np.minimum(start + 2, last)] if len(start) else 0], 1)
+    cut = at > len(raw)
+    count = _COUNTS[command]
+    for one in np.flatnonzero(np.bincount(command, minlength=8)).tolist():
+        if one in (1, 2):
+            count = np.where(command == one, run + (one - 1), count)
+        elif one in (5, 6):
+            count = np.where(command == one, raw[np.minimum(start + 2, len(raw) - 1)], count)
     step = np.where(command == 0, word & 0x1FFF, count)
     block = np.cumsum(step) - step
-    faulty = cut | (command == 7) | ((count > 0) & (block + count > blocks))
+    faulty = (command == 7) | ((count > 0) & (block + count > blocks))
+    if cut:
+        faulty[-1:] = True
     good = int(faulty.argmax()) if faulty.any() else len(start)
-    size = count[:good]
-    owner = np.repeat(np.arange(good), size)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    entry = (word & np.where((command == 1) | (command == 2), 0xFF, 0x1FFF))[owner]
-    listed = (command[owner] == 2) & (inner > 0)
-    entry[listed] = raw[start[owner[listed]] + 1 + inner[listed]]
-    yield block[owner] + inner, entry, ((command == 4) | (command == 6))[owner]
+    entry, alpha, size = word & _ENTRIES[command], _ALPHA[command], count[:good]
+    if good == len(start) and size.min(initial=1) == 1 == size.max(initial=1):
+        yield block, entry, alpha
+    else:
+        owner = np.repeat(np.arange(good), size)
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        entry = entry[owner]
+        listed = (command[owner] == 2) & (inner > 0)
+        entry[listed] = raw[start[owner[listed]] + 1 + inner[listed]]
+        yield block[owner] + inner, entry, alpha[owner]
     if good < len(start) or at < len(raw):
         rest, here = (int(start[good]), int(block[good])) if good < len(start) else (at, int(step.sum()))
         for one, n, alpha, skip in stream_writes(data, blocks, rest, here):

@@ -1,7 +1,9 @@
-"""Movies as they arrive: the container relations over Structured Streaming."""
+"""Movies as they arrive: chunks, frames and sound over Structured Streaming."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,7 +17,15 @@ def arriving(spark: SparkSession, path: str, pattern: str = "*.vqa", per_trigger
     return reader.option("maxFilesPerTrigger", per_trigger).load(path).select("path", "content")
 
 
+def relation_stream(files: DataFrame, relation: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Appends a relation of arriving files to Parquet, exactly once, and stops when none is left.
+
+    relation takes (path, content) and works file by file: container.chunks,
+    video.frame_rows, video.checkpoints or audio.audio_rows.
+    """
+    writer = relation(files).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def chunk_stream(files: DataFrame, out: str, checkpoint: str, with_payload: bool = False) -> StreamingQuery:
-    """Appends the chunk relation of arriving files to Parquet, exactly once, and stops when none is left."""
-    rows = chunks(files, with_payload)
-    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return relation_stream(files, lambda f: chunks(f, with_payload), out, checkpoint)
