@@ -94,14 +94,13 @@ def digest(docs: DataFrame, min_docs: int = 10) -> DataFrame:
 
 
 ORACLE = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
-keyed AS (SELECT doc_id, pos, line,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents),
+lines AS (SELECT r, doc_id, unnest(t) AS line, generate_subscripts(t, 1) AS pos FROM d),
+keyed AS (SELECT r, doc_id, pos, line,
   translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
-hot AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+hot AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '')) >= 10)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(h.k)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE h.k IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN hot h ON keyed.k = h.k GROUP BY doc_id
+FROM keyed LEFT JOIN hot h ON keyed.k = h.k GROUP BY r, doc_id
 """

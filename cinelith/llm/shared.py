@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +21,14 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that is unset (plain local sessions, tests) a temporary folder
-    is made and recorded in the session.
+    Where that is unset a temporary folder is made, in local sessions (tests)
+    only: on a cluster each executor would write to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="cinelith-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,27 +42,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a recomputation.
-    The job's shuffle files go as it ends, the written ones when the driver's
-    Python ends.
+    Jobs' shuffle files go as they end (set once for the session, so queries that
+    share it do not undo each other's setting), the written ones at the end of
+    scratch() or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes what was written inside it as it ends, but for the last table, the result."""
+    start = len(_written)
+    yield
+    for spark, path in _written[start:-1]:
+        _remove(spark, path)
+    del _written[start:-1]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            _remove(spark, path)
         except Exception:  # the session may be gone already
             return
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelith.llm import decontamination, line_dedup, minhash, packing, toxicity
-from cinelith.llm.shared import materialize, read
+from cinelith.llm.shared import materialize, read, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with scratch():
+        for name, stage in STAGES:
+            with scratch():
+                docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
