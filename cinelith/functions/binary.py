@@ -54,11 +54,6 @@ def _lists(data: pa.Array, kind: np.dtype, of_bytes: Callable[[np.ndarray], np.n
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(~valid) if not valid.all() else None)
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _unsigned(data: pa.Array) -> pa.Array:
-    return _lists(data, np.dtype(np.uint8), lambda b: b.astype(np.int32))
-
-
 def _widened(b: np.ndarray) -> np.ndarray:
     return (b.astype(np.int16) - 128) << 8
 
@@ -79,8 +74,9 @@ def _pcm16(data: pa.Array) -> pa.Array:
 
 
 def unsigned_bytes(data: Column) -> Column:
-    """array<int> of all bytes, one NumPy pass over a batch."""
-    return _unsigned(data)
+    """array<int> of all bytes, in Catalyst through hexadecimal text: for short values such as palettes."""
+    pairs = F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def pcm8(data: Column) -> Column:

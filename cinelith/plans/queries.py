@@ -33,9 +33,10 @@ def _image(n: int):
 
 
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3, A5: each long enough text read as a 42-byte header."""
+    """A3, A5: each long enough text read as a 42-byte header, every field of it."""
     rows = _table(spark, sf_dir, "documents").where(F.octet_length("text") >= 42).select("doc_id", C.header_struct(_image(42)).alias("header"))
-    return rows.select("doc_id", "header.version", "header.width", "header.block_width", "header.freq", "header.alt_bits", F.col("header.future_use")[4].alias("fu4"), *C.derived())
+    spare = [F.col("header.future_use")[i].alias(f"spare{i}") for i in range(5)]
+    return rows.select("doc_id", *[F.col(f"header.{name}") for name, _, _ in C.FIELDS], *spare, *C.derived())
 
 
 def _u16(at: int) -> str:
@@ -48,7 +49,7 @@ def _u8(at: int) -> str:
 
 HEADER_SQL = f"""
 WITH t AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) >= 42)
-SELECT doc_id, {_u16(0)} AS version, {_u16(6)} AS width, {_u8(10)} AS block_width, {_u16(24)} AS freq, {_u8(31)} AS alt_bits, {_u16(40)} AS fu4,
+SELECT doc_id, {", ".join(f"{_u8(at) if n == 1 else _u16(at)} AS {name}" for name, at, n in C.FIELDS)}, {", ".join(f"{_u16(32 + 2 * i)} AS spare{i}" for i in range(5))},
   coalesce(nullif({_u16(24)}, 0), 22050) AS sample_rate, coalesce(nullif({_u8(26)}, 0), 1) AS num_channels, coalesce(nullif({_u8(27)}, 0), 8) AS bit_depth,
   {_u16(34)}::BIGINT + {_u16(36)}::BIGINT * 65536 AS max_cbfz_size, ({_u16(2)} & 1) = 1 AS has_sound, {_u16(14)} = 0 AS is_hicolor
 FROM t

@@ -353,12 +353,25 @@ def test_stream(spark, tmp_path):
         (src / "b.vqa").write_bytes(movie(PLAIN, chunk("SND0", b"cd"), chunk("CBF0", bytes([5] * 8)), frame))
 
 
-def test_pcm_columns(spark):
+def test_byte_columns(spark):
     from cinelith.functions import binary as B
 
-    r = spark.createDataFrame([(bytes.fromhex("3412ffff0080ff7f55"), bytes.fromhex("0080ff7f81"))], "a binary, b binary").select(B.pcm16(F.col("a")).alias("a"), B.pcm8(F.col("b")).alias("b")).first()
-    assert r.a == [0x1234, -1, -32768, 32767] and r.b == [-32768, 0, 32512, -256, 256]
-    assert np.int16(r.b[2]) == 32512
+    rng = np.random.default_rng(24)
+    values = [None, b"", b"\x7f", *(rng.bytes(int(n)) for n in rng.integers(1, 40, 30))]
+    rows = spark.createDataFrame(list(enumerate(values)), "k int, b binary").repartition(2)
+    b = F.col("b")
+    columns = [B.pcm8(b).alias("one"), B.pcm8_stereo(b).alias("two"), B.pcm16(b).alias("wide"), B.unsigned_bytes(b).alias("plain"), B.palette_entries(b).alias("palette")]
+    found = rows.select("k", *columns).withColumn("also", B.stereo(F.col("one")))
+    for r in found.collect():
+        raw = values[r.k]
+        if raw is None:
+            assert (r.one, r.two, r.wide, r.plain) == (None, None, None, None)
+            continue
+        widened = [(x - 128) * 256 for x in raw]
+        assert r.one == widened and r.two == r.also == [x for x in widened for _ in (0, 1)] and r.plain == list(raw)
+        assert r.wide == [int.from_bytes(raw[i : i + 2], "little", signed=True) for i in range(0, len(raw) - 1, 2)]
+        scaled = [(x & 63) * 4 + (x & 63) // 16 for x in raw]
+        assert [tuple(e) for e in r.palette] == [tuple(scaled[i : i + 3]) for i in range(0, len(raw) - 2, 3)]
 
 
 @pytest.mark.parametrize(("source", "target"), [(3, 4), (22050, 44100), (5, 2), (7, 7)])
