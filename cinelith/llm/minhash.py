@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinelith.llm.graph import components
@@ -93,8 +93,13 @@ def bins(ordered: np.ndarray) -> bytes:
     return np.where(held, least % np.uint64(255) + np.uint64(1), 0).astype(np.uint8).tobytes()
 
 
+def row_key() -> Column:
+    """A hash of doc_id and text; equal rows share it."""
+    return F.xxhash64("doc_id", "text")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s1, s2, u array<bigint>): set size, set hash, collections."""
+    """(doc_id, rk, n, s1, s2, u array<bigint>): row key, set size, set hash, collections."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,14 +120,19 @@ def signatures(docs: DataFrame) -> DataFrame:
                 flat = pa.array(u.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id").slice(lo, hi - lo), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                        b.column("doc_id").slice(lo, hi - lo), b.column("rk").slice(lo, hi - lo), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COLLECTIONS), flat),
                     ],
-                    ["doc_id", "n", "s1", "s2", "u"],
+                    ["doc_id", "rk", "n", "s1", "s2", "u"],
                 )
 
+    return keyed(docs).mapInArrow(signed, "doc_id bigint, rk bigint, n bigint, s1 bigint, s2 bigint, u array<bigint>")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rk)."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(signed, "doc_id bigint, n bigint, s1 bigint, s2 bigint, u array<bigint>")
+    return slim.withColumn("rk", row_key())
 
 
 def sketched(texts: DataFrame) -> DataFrame:
@@ -172,9 +182,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
             for lo, hi, data, offsets in slices(batch.column("text")):
                 for i, found in zip(range(lo, hi), shingle_sets(data, offsets), strict=True):
                     if side[i] == 0:
-                        # rows that repeat a doc_id: the pivot's set is that of its first row
-                        if head != a[i]:
-                            head, held = a[i], found
+                        head, held = a[i], found
                         continue
                     if head != a[i] or not len(found) or not len(held):
                         continue
@@ -201,15 +209,18 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(new.select("rep", F.coalesce("label", "comp").alias("comp")), "components")
 
 
-def star_pairs(members: DataFrame, comp: DataFrame, seed: int, pivots: int = PIVOTS) -> DataFrame:
-    """(a pivot, b member) in different components, the pivots of most common buckets first."""
+def star_pairs(members: DataFrame, comp: DataFrame, seed: int, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """((a pivot, b member) in different components, the pivots of most common buckets first;
+    the members of buckets that still span components)."""
     held = members.join(comp, "rep")
     order = F.struct(F.xxhash64(F.lit(seed), "rep").alias("o"), F.col("rep").alias("a"), F.col("comp").alias("ca"))
     heads = held.groupBy("key").agg(F.min(order).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     heads = materialize(heads.select("key", "p.a", "p.ca"), "pivots")
-    met = held.join(heads, "key").where("comp <> ca").groupBy("rep", "a").agg(F.count("*").alias("n"))
+    # a bucket inside one component stays so, and later rounds need not read it
+    spanning = materialize(members.join(heads.select("key"), "key"), "members")
+    met = spanning.join(comp, "rep").join(heads, "key").where("comp <> ca").groupBy("rep", "a").agg(F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "a"))
-    return met.withColumn("r", best).where(F.col("r") <= pivots).select("a", F.col("rep").alias("b"))
+    return met.withColumn("r", best).where(F.col("r") <= pivots).select("a", F.col("rep").alias("b")), spanning
 
 
 def open_pairs(members: DataFrame, comp: DataFrame, reps: DataFrame, texts: DataFrame, percent: int = PERCENT, block: int = BLOCK, strand: int = STRAND) -> DataFrame:
@@ -273,28 +284,50 @@ def open_pairs(members: DataFrame, comp: DataFrame, reps: DataFrame, texts: Data
     return rows.mapInArrow(compared, "a bigint, b bigint")
 
 
+def repeated_ids(sig: DataFrame) -> DataFrame | None:
+    """(doc_id, s1, s2, n) of every different set of the ids whose rows have several; None where no id has."""
+    kind = F.struct("s1", "s2", "n")
+    ids = sig.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("lo <> hi").select("doc_id")
+    ids = materialize(ids, "repeated")
+    return None if ids.isEmpty() else materialize(sig.join(ids, "doc_id").select("doc_id", "s1", "s2", "n").distinct(), "repeated-sets")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sig = materialize(signatures(docs), "signatures")
     known = sig.where("n > 0 AND doc_id IS NOT NULL")
+    # a class is named by the row key of its smallest document's row, as an id may stand in several classes
     classes = materialize(
-        known.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "u")).alias("m"), F.count("*").alias("copies"))
-        .select("s1", "s2", "n", F.col("m.doc_id").alias("rep"), "m.u", "copies"),
+        known.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "rk", "u")).alias("m"), F.count("*").alias("copies"))
+        .select("s1", "s2", "n", F.col("m.rk").alias("rep"), F.col("m.doc_id").alias("least"), "m.u", "copies"),
         "classes",
     )
     members = table_members(classes.select("rep", "u"))
     wanted = materialize(members.select(F.col("rep").alias("id")).distinct(), "wanted")
-    texts = materialize(docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id"), "texts")
+    texts = materialize(keyed(docs).select(F.col("rk").alias("id"), "text").join(wanted, "id"), "texts")
     comp = materialize(wanted.select(F.col("id").alias("rep"), F.col("id").alias("comp")), "components")
     for seed in range(STARS):
-        comp = merged(comp, confirm(star_pairs(members, comp, seed), texts, percent))
+        pairs, members = star_pairs(members, comp, seed)
+        comp = merged(comp, confirm(pairs, texts, percent))
     comp = merged(comp, confirm(open_pairs(members, comp, classes.select("rep", "u"), texts), texts, percent))
-    # rows that repeat a doc_id with other texts are one document, so classes that share an id meet
-    moved = comp.where("comp <> rep")
-    copied = classes.where("copies > 1").select("s1", "s2", "n", "rep")
-    own = sig.join(copied, ["s1", "s2", "n"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    labelled = own.join(moved, "rep", "left").select("doc_id", "n", F.coalesce("comp", "rep").alias("component_id"))
-    return labelled.select(
+    sets = repeated_ids(sig)
+    if sets is not None:
+        # rows that repeat a doc_id with other texts are one document, so classes that share an id meet
+        nodes = materialize(sets.join(classes, ["s1", "s2", "n"]).select("doc_id", "rep"), "shared-ids")
+        alone = nodes.select("rep").distinct().join(comp, "rep", "left_anti")
+        comp = materialize(comp.unionByName(alone.select("rep", F.col("rep").alias("comp"))), "components")
+        comp = merged(comp, nodes.join(nodes.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")))
+    # the smallest doc_id of each component; classes of one row that no other is linked to keep their own
+    placed = classes.select("s1", "s2", "n", "rep", "least", "copies").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = materialize(placed, "placed")
+    smallest = placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1").select("comp", "component_id")
+    labels = materialize(placed.join(smallest, "comp").select("s1", "s2", "n", "component_id"), "class-labels")
+    own = sig.join(labels, ["s1", "s2", "n"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id")))
+    if sets is not None:
+        # of such an id every row, an empty one too, takes the id's component
+        by_id = sets.where("n > 0").join(labels, ["s1", "s2", "n"]).groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+        own = own.join(by_id, "doc_id", "left").withColumn("component_id", F.coalesce("of_id", "component_id"))
+    return own.select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
 
