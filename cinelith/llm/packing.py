@@ -3,8 +3,12 @@
 Tokens of a partition's documents form one stream, each document closed by the
 separator id.  A window is at most WINDOW tokens; its row is padded to WINDOW
 unless its length is a power of two.  Cuts are chosen among document ends,
-sentence ends and, at a higher price, places inside sentences, so that padding
-plus cut penalties is least:
+sentence ends and, at a higher price, some places inside sentences: those a whole
+number of windows behind a boundary whose next one is further than a window, and
+those one window behind a boundary where the last boundary before them would
+leave more padding than the price differs.  Among the cuts at these places (see
+candidates(); other places inside sentences are not tried) padding plus penalties
+is least:
 
     f(j) = price(j) + min over i, p(j) - p(i) <= WINDOW, of f(i) + WINDOW - (p(j) - p(i))
 
@@ -17,8 +21,8 @@ most its own last window.
 
 Ids: byte-level BPE from a tokenizers JSON file.  When its ids are its merge
 ranks (the file's vocabulary says so) the ranks run in tiktoken, which gives the
-same ids several times faster; other files run in tokenizers.  The strings of
-special tokens are ordinary text.
+same ids several times faster; other files run in tokenizers.  An added token's
+text becomes that token, as tokenizers have it.
 
 Defined cases: null or empty text is the separator alone; a document longer than
 a window is cut; repeated rows are packed each; a null doc_id is kept as null;
@@ -71,35 +75,32 @@ def encoder(path: str):
 
     spec = json.load(open(path, encoding="utf-8"))
     letters = _byte_letters()
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    added = {t["content"]: t for t in spec.get("added_tokens", [])}
     vocab = spec["model"]["vocab"]
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    ends = np.zeros(max(vocab.values()) + 1 + len(special), bool)
+    ends = np.zeros(max([*vocab.values(), *(t["id"] for t in added.values())]) + 1, bool)
     ranks = {}
     for token, i in vocab.items():
-        if token in special or any(c not in letters for c in token):
+        if token in added or any(c not in letters for c in token):
             continue
         ranks[raw] = i if (raw := bytes(letters[c] for c in token)) not in ranks else -1
         ends[i] = raw.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?") or b"\n" in raw
     merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"].get("merges", [])]
     joined = [vocab["".join(m)] for m in merges]
-    if len(ranks) + len(special) >= len(vocab) and joined == list(range(256, 256 + len(merges))) and spec.get("normalizer") is None:
+    plain = not any(t.get(k) for t in added.values() for k in ("single_word", "lstrip", "rstrip"))
+    if plain and len(ranks) + len(added) >= len(vocab) and joined == list(range(256, 256 + len(merges))) and spec.get("normalizer") is None:
         import public_tokenizers
         import tiktoken
 
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return (lambda texts: [fast.encode_ordinary(t) for t in texts]), ends
+        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={c: t["id"] for c, t in added.items()})
+        return (lambda texts: [fast.encode(t, allowed_special="all") for t in texts]), ends
+    slow = Tokenizer.from_file(path)
     return (lambda texts: [e.ids for e in slow.encode_batch_fast(texts, add_special_tokens=False)]), ends
 
 
-def choose_cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW, prices: tuple = PRICES) -> list[int]:
-    """Cut positions over n tokens, 0 and n included, of least padding plus penalties."""
+def candidates(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW, prices: tuple = PRICES) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which n tokens may be cut, 0 and n included, and what each costs."""
     soft = np.union1d(np.append(doc_ends, (0, n)), sentence_ends)
-    gaps = np.diff(soft)
-    long = np.flatnonzero(gaps > window)
-    inside = [np.arange(soft[g] + window, soft[g + 1], window) for g in long]
-    # a cut inside a sentence can only pay where the sentence end before it leaves more padding than the prices differ
+    inside = [np.arange(soft[g] + window, soft[g + 1], window) for g in np.flatnonzero(np.diff(soft) > window)]
     full = soft + window
     full = full[full <= n]
     inside.append(full[full - soft[np.searchsorted(soft, full, "right") - 1] > prices[2] - prices[1]])
@@ -108,6 +109,12 @@ def choose_cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, window:
     price = np.full(len(at), prices[2])
     price[np.isin(at, sentence_ends, kind="sort")] = prices[1]
     price[np.isin(at, np.append(doc_ends, n), kind="sort")] = prices[0]
+    return at, price
+
+
+def choose_cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW, prices: tuple = PRICES) -> list[int]:
+    """Cut positions over n tokens, 0 and n included, of least padding plus penalties among candidates()."""
+    at, price = candidates(n, doc_ends, sentence_ends, window, prices)
     whole: dict[int, list[int]] = {}
     size = UNPADDED
     while size < window:
