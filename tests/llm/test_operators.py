@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cinelith.llm import decontamination, line_dedup, lm_scoring, minhash, packing, pii, suffix_dedup, topk, toxicity, url_filter
+from cinelith.llm import decontamination, line_dedup, minhash, packing, pii, suffix_dedup, topk
 
 SCHEMA = "doc_id long, text string, rk1 string, row string, lines string, score double"
 TEXTS = [None, "", "a b", "One\n two \nTHREE\n\n", "x" * 3000, "same line here\nother", "same line here\nother", "mail a@b.co now +1 202 555 0143 ok", "4111 1111 1111 1111 at 10.0.0.1"]
@@ -24,11 +24,6 @@ def rows_of(docs):
     return [(r.doc_id, r.text or "") for r in docs.collect()]
 
 
-@pytest.mark.parametrize("run", [line_dedup.digest, pii.digest, minhash.digest, packing.digest, lm_scoring.digest, suffix_dedup.digest])
-def test_empty_tables(spark, run):
-    assert run(table(spark).limit(0)).count() == 0
-
-
 def test_line_dedup(spark):
     docs = table(spark)
     every = rows_of(docs)
@@ -109,6 +104,31 @@ def test_minhash(spark):
     assert {50}.isdisjoint(r.doc_id for r in minhash.drop_near_duplicates(docs).where("doc_id in (51, 52)").collect())
 
 
+def components_by_hand(rows):
+    """(doc_id, n_shingles, component_id) of every row; rows that repeat an id are one document."""
+    sets = []
+    for i, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())))
+    component = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, x in sets:
+            for b, y in sets:
+                if a is not None and b is not None and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                    component[a] = component[b] = min(component[a], component[b])
+    return Counter((i, len(x), component[i]) for i, x in sets)
+
+
+def test_minhash_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    one, two, three, four = (" ".join(map(str, rng.integers(0, 10**6, 40))) for _ in range(4))
+    rows = [(3, one), (5, one), (5, two), (7, two + " end"), (8, three), (8, four), (8, None), (9, four), (None, one), (11, ""), (12, three), (12, three), (13, "a b"), (13, "")]
+    docs = spark.createDataFrame([(i, t, 1, "c", [1]) for i, t in rows], "doc_id long, text string, rk long, rep string, u array<int>")
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.digest(docs).collect()) == components_by_hand(rows)
+    kept = {(r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs).collect()}
+    assert {i for i, _ in kept} == {3, 8, None, 11, 13} and (8, four) in kept
+
+
 def test_minhash_blocks(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 10**6, 120)
@@ -129,10 +149,10 @@ def test_minhash_blocks(spark):
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    docs = table(spark, [(60, "A sentence. " * 900)])
-    slow = Tokenizer.from_file(packing.default_tokenizer())
-    slow.encode_special_tokens = True
-    want = Counter(tuple([*slow.encode(t, add_special_tokens=False).ids, 0]) for _, t in rows_of(docs))
+    special = ["<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext", "x " * 9 + "<|endoftext|>"]
+    docs = table(spark, [(60, "A sentence. " * 900), *((61 + i, t) for i, t in enumerate(special)), (70, "word " * 30_000), (71, "e\u0301 \U0001f600 \t\r\n naïve")])
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    want = Counter(tuple([*plain.encode(t, add_special_tokens=False).ids, 0]) for _, t in rows_of(docs))
     pieces = packing.pack(docs).orderBy("sequence_id", "offset").collect()
     got, held = Counter(), []
     for p in pieces:
@@ -148,30 +168,31 @@ def test_packing(spark):
     assert max(size.values()) <= 1024
 
 
-def test_cuts_are_least():
+@pytest.mark.parametrize("window", [16, 64, 256])
+def test_cuts_are_least(window):
+    """Against the plain recursion over all pairs of candidate places."""
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        n, docs = 60, np.sort(rng.choice(60, 6, replace=False)) + 1
-        cuts = packing.choose_cuts(n, docs, np.arange(5, 60, 5), 16, (0, 6, 20))
-        assert cuts[0] == 0 and cuts[-1] == n and max(np.diff(cuts)) <= 16
-
-
-def test_lm_paths_agree(spark):
-    docs = table(spark)
-    one, two = (sorted((str(tuple(r)[0].doc_id), r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in lm_scoring.score(docs, max_words=m).collect()) for m in (10**6, 0))
-    assert one == two
-    assert all(math.isfinite(x[4]) and x[4] < 0 for x in one)
-
-
-def test_lm_keeps_every_gram(spark):
-    docs = table(spark, [(100 + i, f"text number {i * 7919} of many, naïve and plain") for i in range(60)])
-    one, two = (sorted((str(tuple(r)[0].doc_id), r.n_tokens, round(r.base_score, 9), round(r.score, 6)) for r in lm_scoring.score(docs, max_grams=m).collect()) for m in (10**6, 200))
-    assert one == two
-
-
-def test_suffix_dedup(spark):
-    docs = table(spark, [(70, "ab" * 90), (71, "ab" * 70 + "c"), (72, "\x00" * 80), (73, "z" + "\x00" * 60)])
-    every = [(i, t.encode()) for i, t in rows_of(docs)]
+    prices, powers = (0, 6, 20), [s for s in (128, 256, 512) if s < window]
+    for _ in range(40):
+        n = int(rng.integers(1, 6 * window))
+        docs = np.unique(np.append(rng.integers(1, n + 1, rng.integers(1, 8)), n))
+        ends = np.unique(rng.integers(1, n + 1, rng.integers(0, 20)))
+        at, price = packing.candidates(n, docs, ends, window, prices)
+        assert {0, n, *docs.tolist(), *ends.tolist()} <= set(at.tolist()) and np.diff(at).max(initial=0) <= window
+
+        def cost(size):
+            return packing.SHORT if size in powers else window - size
+
+        best = [0]
+        for j in range(1, len(at)):
+            best.append(min(best[i] + min(cost(at[j] - at[i]), window - (at[j] - at[i])) for i in range(j) if at[j] - at[i] <= window) + price[j])
+        cuts = packing.choose_cuts(n, docs, ends, window, prices)
+        priced = dict(zip(at.tolist(), price.tolist(), strict=True))
+        found = sum(min(cost(b - a), window - (b - a)) + priced[b] for a, b in zip(cuts, cuts[1:], strict=False))
+        assert cuts[0] == 0 and cuts[-1] == n and max(np.diff(cuts)) <= window and found == best[-1]
+
+
+def removed_by_hand(every):
     first = {}
     for i, t in sorted((x for x in every if x[0] is not None), key=lambda x: x[0]):
         for k in range(len(t) - 49):
@@ -180,26 +201,46 @@ def test_suffix_dedup(spark):
     for i, t in every:
         gone = {b for k in range(len(t) - 49) if i is not None and first[t[k : k + 50]] < i for b in range(k, k + 50)}
         want[(i, len(t), len(gone), sum(b - 1 not in gone for b in gone), hashlib.sha256(bytes(c for b, c in enumerate(t) if b not in gone)).hexdigest())] += 1
-    assert Counter(tuple(r) for r in suffix_dedup.digest(docs).collect()) == want
+    return want
 
 
-def test_loser_tree():
-    rng = np.random.default_rng(1)
-    runs, every = [], []
-    for _ in range(5):
-        t = np.sort(rng.integers(97, 100, (30, 6)).astype(np.uint8).view("S6").ravel())
-        every += t.tolist()
-        runs.append(suffix_dedup.Run(suffix_dedup.front_coded(t.view(np.uint8).reshape(30, 6)), 6))
-    assert [s for _, _, s, _ in suffix_dedup.merge_runs(runs)] == sorted(every)
+def test_suffix_dedup(spark):
+    docs = table(spark, [(70, "ab" * 90), (71, "ab" * 70 + "c"), (72, "\x00" * 80), (73, "z" + "\x00" * 60)])
+    assert Counter(tuple(r) for r in suffix_dedup.digest(docs).collect()) == removed_by_hand([(i, t.encode()) for i, t in rows_of(docs)])
+
+
+@pytest.mark.parametrize(("part", "ranges"), [(200_000, 4096), (40, 4096), (40, 3)])
+def test_suffix_dedup_hot_passage(spark, monkeypatch, part, ranges):
+    """One passage in every document between different words, near copies, and parts of few entries."""
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    monkeypatch.setattr(suffix_dedup, "RANGES", ranges)
+    rng = np.random.default_rng(8)
+    names = [f"w{i}é" for i in range(30)]
+    passage = "this passage stands in every single document of the table, word for word, for ever"
+    rows = []
+    for i in range(90):
+        left, right = (" ".join(rng.choice(names, 25)) for _ in range(2))
+        rows.append((i, f"{left} {passage[: 40 + i % 50]} {right} {passage} {left[:30]}"))
+    for i in range(90, 120):
+        rows.append((i, rows[i - 60][1].replace("w3", "W3", 1)))
+    docs = spark.createDataFrame([*rows, (200, rows[5][1]), (7, rows[9][1])], "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in suffix_dedup.digest(docs).collect()) == removed_by_hand([(i, t.encode()) for i, t in rows_of(docs)])
 
 
-def test_decontamination(spark):
-    bench = spark.createDataFrame([(1, "What is the airspeed velocity of an unladen swallow, my king?"), (2, None), (3, ""), (4, "zz")], "item_id long, text string")
-    docs = table(spark, [(80, "so: what is the  AIRSPEED velocity of an unlaiden swallow my king? yes"), (81, "what is the speed of anything at all")])
-    hits = {r.doc_id: [h.item_id for h in r.hits] for r in decontamination.digest(docs, bench).collect()}
-    assert hits[80] == [1] and hits[81] == [] and hits[0] == []
-    assert decontamination.remove_contaminated(docs, bench).columns == docs.columns
-    assert decontamination.judge(docs, bench, block_chars=1).where("size(hits) > 0").count() == 1
+def test_loser_tree():
+    rng = np.random.default_rng(1)
+    for k in (1, 5, 8):
+        runs, every = [], []
+        for _ in range(k):
+            t = np.sort(rng.integers(97, 100, (30, 6)).astype(np.uint8).view("S6").ravel())
+            every += t.tolist()
+            runs.append(suffix_dedup.Run(suffix_dedup.front_coded(t.view(np.uint8).reshape(30, 6)), 6, block=7))
+        found = list(suffix_dedup.merge_runs(runs, chunk=11))
+        strings = [s for _, _, block in found for s in block]
+        assert strings == sorted(every) and strings == [every[p] for block, _, _ in found for p in block]
+        shared = [s for _, block, _ in found for s in block]
+        common = [next((i for i in range(6) if a[i] != b[i]), 6) for a, b in zip(strings, strings[1:], strict=False)]
+        assert shared[1:] == common
 
 
 def test_decontamination_repetitive_items():
@@ -225,34 +266,43 @@ def test_decontamination_repetitive_items():
         assert [h[3] for h in decontamination.Matcher([(1, item)], 14).find(text)] == ([want] if want <= len(item) // 14 else []), text
 
 
-def test_toxicity(spark):
-    docs = table(spark, [(100 + i, ("you idiot " if i % 2 else "dear friend ") + f"word{i % 7} text") for i in range(300)])
-    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    out = [r for r in toxicity.digest(docs, labels).collect() if r.doc_id is not None and r.doc_id >= 100]
-    assert all(r.predicted == r.doc_id % 2 for r in out if r.held_out)
-    assert toxicity.reject_toxic(docs, labels.limit(0)).count() == docs.count()
+def best_by_hand(vectors, queries, k):
+    """{query: [(rank, vec_id, score)]} of (id, list) pairs, in Python's integers."""
+    usable = [(i, v) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    whole = [(i, [math.floor(64 * np.float64(x)) for x in v]) for i, v in usable]
+    out = {}
+    for i, q in whole:
+        if i in queries:
+            every = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in whole if j != i)[:k]
+            out[i] = [(n + 1, j, -s) for n, (s, j) in enumerate(every)]
+    return out
 
 
-def test_url_filter(spark):
-    pages = spark.createDataFrame([(1, None), (2, ""), (3, "http://EXAMPLE.com/en/x?y"), (4, "http://a.net/fr/"), (5, "http://example.com"), (5, "http://www.example.com/en/")], "page_id long, url string")
-    out = {(r.page_id, r.host): (r.path, r.rule, r.verdict) for r in url_filter.digest(pages).collect()}
-    assert out[(3, "example.com")] == ("/en/x", "example.com/en/", "block") and out[(5, "www.example.com")][1:] == ("www.example.com/en/", "allow")
-    assert out[(4, "a.net")][1:] == ("net/fr/", "block") and out[(5, "example.com")][1] is None
+@pytest.mark.parametrize(("segment", "wider"), [(4096, 64), (16, 2), (40, 3)])
+def test_topk(spark, segment, wider):
+    rng = np.random.default_rng(2)
+    vectors = [(i, [float(np.float32(x)) for x in rng.normal(size=5)]) for i in range(200)]
+    vectors += [(i, [0.5, 0.25, 1.0, 0.0, 2.0]) for i in range(200, 300)]  # ties
+    vectors += [(300, None), (None, [1.0]), (320, [float("nan")]), (340, [1.0, None]), (360, []), (380, [1.0]), (400, [float("inf")])]
+    docs = spark.createDataFrame([(i, v, i, "c", 0) for i, v in vectors], "vec_id long, embedding array<float>, score long, v string, id int")
+    wanted = docs.where("vec_id % 20 = 0")
+    out = {}
+    for r in topk.top_k(docs, wanted, 5, segment, 8, wider).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert out == best_by_hand(vectors, range(0, 400, 20), 5)
+    assert topk.digest(docs, 20, 5).count() == sum(map(len, out.values()))
+    assert topk.digest(docs.limit(0)).count() == 0
 
 
-def test_url_filter_keeps_every_gram(spark):
-    hosts = ("shop.com", "news.net", "blog.org", "example.com")
-    pages = spark.createDataFrame([(i, f"http://{hosts[i % 4]}/{('en', 'fr', 'es')[i % 3]}/{i * 7919 % 1009}") for i in range(200)], "page_id long, url string")
-    one, two = ({r.page_id: (r.verdict, round(r.score, 9)) for r in url_filter.judge(pages, max_grams=m).collect()} for m in (10**6, 100))
-    assert one == two and any(s for _, s in one.values())
+def test_topk_large_components(spark):
+    vectors = [(0, [1e8, 0.0]), (20, [1.0, 2.0]), (21, [3e7, -1.0]), (22, [2.0**60, 1.0]), (40, [0.0, 2.0**55]), (41, [0.5, 2.0**-5])]
+    docs = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    out = {(r.query_id, r.vec_id): r.score for r in topk.digest(docs).collect()}
+    assert out[(0, 20)] == 409_600_000_000 and out[(20, 41)] == 64 * 32 + 128 * 2
+    top = (1 << 63) - 1
+    assert all(out[(q, j)] == min(max(s, -top - 1), top) for q, found in best_by_hand(vectors, (0, 20, 40), 20).items() for _, j, s in found)
 
 
-def test_topk(spark):
-    rng = np.random.default_rng(2)
-    vectors = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(200)] + [(40, None), (None, [1.0]), (60, [float("nan")]), (20, [0.0] * 5)]
-    out = {}
-    for r in topk.digest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), 20, 5).collect():
-        out.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    whole = {i: [math.floor(64 * np.float64(np.float32(x))) for x in v] for i, v in vectors[:200]}
-    want = sorted((-sum(a * b for a, b in zip(whole[100], v, strict=True)), i) for i, v in [*whole.items(), (20, [0] * 5)] if i != 100)[:5]
-    assert sorted(out[100]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+def test_topk_repeated_queries(spark):
+    docs = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 3.0]), (20, [1.0, 0.0]), (5, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.digest(docs).collect()] == [(20, 1, 5, 64 * 64)]
