@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -63,9 +64,8 @@ def audio_rows(files: DataFrame) -> DataFrame:
             yield (path, n, None, f.row())
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield from in_blocks(rows_of(path, content), ["movie_id", "chunk_no", "samples", "error"])
+        each = (rows_of(*file) for batch in batches for file in zip(batch["path"], batch["content"], strict=True))
+        yield from in_blocks(chain.from_iterable(each), ["movie_id", "chunk_no", "samples", "error"])
 
     return files.select("path", "content").mapInPandas(decoded, AUDIO)
 

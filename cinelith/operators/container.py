@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -202,7 +203,7 @@ def movies(files: DataFrame) -> DataFrame:
 
 
 def in_blocks(rows: Iterator[tuple], names: list[str], kinds: dict | None = None, most_bytes: int = 8 << 20) -> Iterator[pd.DataFrame]:
-    """Rows as frames of about most_bytes of payload, so that no movie is held whole."""
+    """Rows as frames of about most_bytes of payload: many small movies in one, no large one held whole."""
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -245,9 +246,8 @@ def chunks(files: DataFrame, with_payload: bool = True, nested: tuple[str, ...]
             yield (path, seq + 1, None, None, None, None, None, f.row())
 
     def walked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                yield from in_blocks(rows_of(path, content), names, {"parent_seq": "Int32"})
+        each = (rows_of(*file) for frame in frames for file in zip(frame["path"], frame["content"], strict=True))
+        yield from in_blocks(chain.from_iterable(each), names, {"parent_seq": "Int32"})
 
     return files.select("path", "content").mapInPandas(walked, CHUNKS)
 

@@ -6,6 +6,7 @@ import pickle
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -466,9 +467,8 @@ def frame_rows(files: DataFrame, first: int = 0, last: int | None = None, every:
             yield (path, number + 1, None, None, None, None, None, e.row())
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield from in_blocks(rows_of(path, content), _FRAME_NAMES)
+        each = (rows_of(*file) for batch in batches for file in zip(batch["path"], batch["content"], strict=True))
+        yield from in_blocks(chain.from_iterable(each), _FRAME_NAMES)
 
     return files.select("path", "content").mapInPandas(scanned, FRAMES)
 
@@ -490,9 +490,8 @@ def checkpoints(files: DataFrame, every: int) -> DataFrame:
             return
 
     def saved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield from in_blocks(rows_of(path, content), ["movie_id", "frame_no", "state"])
+        each = (rows_of(*file) for batch in batches for file in zip(batch["path"], batch["content"], strict=True))
+        yield from in_blocks(chain.from_iterable(each), ["movie_id", "frame_no", "state"])
 
     return files.select("path", "content").mapInPandas(saved, "movie_id string, frame_no int, state binary")
 
@@ -516,9 +515,8 @@ def resumed_rows(files: DataFrame, states: DataFrame, count: int) -> DataFrame:
             yield (path, number + 1, None, None, None, None, None, e.row())
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in zip(*(batch[c] for c in ("path", "content", "frame_no", "state")), strict=True):
-                yield from in_blocks(rows_of(*row), _FRAME_NAMES)
+        each = (rows_of(*row) for batch in batches for row in zip(*(batch[c] for c in ("path", "content", "frame_no", "state")), strict=True))
+        yield from in_blocks(chain.from_iterable(each), _FRAME_NAMES)
 
     return files.select("path", "content").join(states, F.col("path") == F.col("movie_id")).select("path", "content", "frame_no", "state").mapInPandas(scanned, FRAMES)
 
