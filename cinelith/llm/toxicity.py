@@ -7,11 +7,13 @@ learning rate per coordinate and, by its L1 term, all but some hundreds of
 weights at zero; those are broadcast as (slot, weight) pairs, 2**BITS at most.
 A toxic row counts as POSITIVE rows, as toxic rows are the rarer ones.
 
-Fit: on at most MAX_TRAIN labelled rows (a documented bound), chosen by a hash
-of doc_id among those whose crc32(doc_id as text) mod 5 is not 0.  Only their
-features reach the driver.  The order of the rows is that of a hash too, so the
-fit is the same for any partitioning.  Labels that contradict each other for one
-doc_id count as toxic.
+Fit: on at most MAX_TRAIN labelled documents (a documented bound), those of the
+least hash of doc_id among those whose crc32(doc_id as text) mod 5 is not 0, and of
+them, in that order, as many as have MAX_TRAIN_BYTES of features together (two at
+least).  Only these features reach the driver, so what it holds is bounded.  The order
+of the rows is that of a hash too, so the fit is the same for any partitioning.
+Labels that contradict each other for one doc_id count as toxic; of rows that
+repeat a doc_id the one whose text has the least hash is learnt from.
 
 Scoring runs over every whole text, batch by batch, without a shuffle.
 
@@ -30,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelith.llm.shared import id_bucket
+from cinelith.llm.shared import id_bucket, materialize, whole_text
 from cinelith.llm.text import PLAIN, mix, slices, words
 
 BITS = 22
 MAX_TRAIN = 8000
+MAX_TRAIN_BYTES = 128 << 20
 PASSES = 3
 POSITIVE = 5.0
 _PAIR, _SKIP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -79,14 +82,13 @@ class Ftrl:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, toxic, text, at) of max_rows documents at most; at orders them."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(id_bucket(5) != 0)
-    total = known.count()
-    if total > max_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / total))
     # max_rows rows of two numbers at most: the size of this broadcast is bounded
-    known = known.limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    known = known.where(id_bucket(5) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(known), "doc_id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return rows.groupBy("doc_id", "toxic").agg(one).withColumn("at", F.xxhash64("doc_id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, passes: int = PASSES) -> np.ndarray:
@@ -99,10 +101,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, passes: i
                 slot, doc = features(data, offsets)
                 cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
                 out += [slot[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([b.column("at"), b.column("toxic").cast(pa.int32()), pa.array(out, pa.binary())], ["at", "toxic", "slots"])
-
-    rows = training_rows(docs, labels, max_rows).select(F.xxhash64("doc_id", "text").alias("at"), "toxic", "text")
-    rows = rows.mapInArrow(extract, "at bigint, toxic int, slots binary").toArrow().sort_by("at")
+            columns = [b.column("at"), b.column("toxic").cast(pa.int32()), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["at", "toxic", "size", "slots"])
+
+    rows = training_rows(docs, labels, max_rows).select("at", "toxic", "text")
+    rows = materialize(rows.mapInArrow(extract, "at bigint, toxic int, size bigint, slots binary"), "training")
+    so_far = 0
+    for n, (last, size) in enumerate(sorted(zip(*rows.select("at", "size").toArrow().to_pydict().values(), strict=True))):
+        so_far += size
+        if n > 1 and so_far > MAX_TRAIN_BYTES:
+            rows = rows.where(F.col("at") < last)
+            break
+    rows = rows.select("at", "toxic", "slots").toArrow().sort_by("at")
     label = np.array(rows.column("toxic")) > 0
     slots = [np.frombuffer(x, np.int32) for x in rows.column("slots").to_pylist()]
     # the L1 term is set for MAX_TRAIN rows; gradients add up over rows, so fewer rows take less of it
