@@ -11,7 +11,7 @@ shares no table with probability 7e-4, one with 0.85 with less than 1e-6.
    so only shared values are combined into table keys.
 3. Star rounds: every bucket whose members are in different components names a
    pivot; each member is confirmed, on full sets, against the pivots it shares
-   most buckets with; components are merged.
+   most buckets with (COMMON at least); components are merged.
 4. Exhaustive round: in buckets that still span components, all pairs across
    components are compared, each in the first table the two share, by sketches
    of BINS bytes (a set's least hash in each of BINS ranges; the cut is DEVIATIONS
@@ -52,6 +52,10 @@ BINS = 512
 DEVIATIONS = 4.0
 STARS = 3
 PIVOTS = 4
+#: Buckets that a member must share with a pivot to be confirmed in a star round; the exhaustive round takes the others.
+COMMON = 6
+#: Ids that are broadcast, 8 bytes each; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 BLOCK = 1024
 STRAND = 8192
 SALTS = 64
@@ -217,10 +221,10 @@ def star_pairs(members: DataFrame, comp: DataFrame, seed: int, pivots: int = PIV
     heads = held.groupBy("key").agg(F.min(order).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     heads = materialize(heads.select("key", "p.a", "p.ca"), "pivots")
     # a bucket inside one component stays so, and later rounds need not read it
-    spanning = materialize(members.join(heads.select("key"), "key"), "members")
-    met = spanning.join(comp, "rep").join(heads, "key").where("comp <> ca").groupBy("rep", "a").agg(F.count("*").alias("n"))
+    spanning = materialize(held.join(heads, "key"), "members")
+    met = spanning.where("comp <> ca").groupBy("rep", "a").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "a"))
-    return met.withColumn("r", best).where(F.col("r") <= pivots).select("a", F.col("rep").alias("b")), spanning
+    return met.withColumn("r", best).where(F.col("r") <= pivots).select("a", F.col("rep").alias("b")), spanning.select("key", "t", "rep")
 
 
 def open_pairs(members: DataFrame, comp: DataFrame, reps: DataFrame, texts: DataFrame, percent: int = PERCENT, block: int = BLOCK, strand: int = STRAND) -> DataFrame:
@@ -236,7 +240,9 @@ def open_pairs(members: DataFrame, comp: DataFrame, reps: DataFrame, texts: Data
     spans = materialize(spans.select("key", F.col("top.comp").alias("top"), parts.alias("parts"), strands.alias("strands")), "open")
     rows = materialize(held.join(spans, "key"), "spanning")
     who = materialize(rows.select("rep").distinct(), "spanning-reps")
-    sketches = materialize(sketched(texts.join(who.withColumnRenamed("rep", "id"), "id")).join(reps, "rep"), "sketches")
+    # half of each collection's value tells tables apart as well
+    halves = reps.select("rep", F.transform("u", lambda x: F.shiftright(x, 32).cast("int")).alias("u"))
+    sketches = materialize(sketched(texts.join(who.withColumnRenamed("rep", "id"), "id")).join(halves, "rep"), "sketches")
     rows = rows.join(sketches, "rep")
     # a member outside the largest component is held in its block, in every strand, and streams past the
     # later blocks; one inside it streams past all blocks; with one block and strand each row goes once
@@ -253,13 +259,13 @@ def open_pairs(members: DataFrame, comp: DataFrame, reps: DataFrame, texts: Data
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size = None, 0
         rep, comp, n = np.zeros((3, 64), np.int64)
-        u, sketch = np.zeros((64, COLLECTIONS), np.int64), np.zeros((64, BINS), np.uint8)
+        u, sketch = np.zeros((64, COLLECTIONS), np.int32), np.zeros((64, BINS), np.uint8)
         for b in batches:
             columns = [b.column(c).to_pylist() for c in ("key", "x", "y", "side", "t", "rep", "comp", "n", "u", "sketch")]
             for key, x, y, side, table, one, its, count, values, drawn in zip(*columns, strict=True):
                 if (key, x, y) != group:
                     group, size = (key, x, y), 0
-                values, drawn = np.array(values, np.int64), np.frombuffer(drawn, np.uint8)
+                values, drawn = np.array(values, np.int32), np.frombuffer(drawn, np.uint8)
                 # two members of one block are compared in its first strand only
                 if side or not y:
                     at = np.flatnonzero(comp[:size] != its)
@@ -292,7 +298,7 @@ def repeated_ids(sig: DataFrame) -> DataFrame | None:
     return None if ids.isEmpty() else materialize(sig.join(ids, "doc_id").select("doc_id", "s1", "s2", "n").distinct(), "repeated-sets")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, most_sent: int = MOST_SENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sig = materialize(signatures(docs), "signatures")
     known = sig.where("n > 0 AND doc_id IS NOT NULL")
@@ -304,7 +310,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     members = table_members(classes.select("rep", "u"))
     wanted = materialize(members.select(F.col("rep").alias("id")).distinct(), "wanted")
-    texts = materialize(keyed(docs).select(F.col("rk").alias("id"), "text").join(wanted, "id"), "texts")
+    sent = F.broadcast(wanted) if wanted.count() <= most_sent else wanted.hint("merge")
+    texts = materialize(keyed(docs).select(F.col("rk").alias("id"), "text").join(sent, "id"), "texts")
     comp = materialize(wanted.select(F.col("id").alias("rep"), F.col("id").alias("comp")), "components")
     for seed in range(STARS):
         pairs, members = star_pairs(members, comp, seed)
