@@ -10,15 +10,17 @@ score is the log10 probability, that is minus its code length, pretrained on
 the training rows (crc32(doc_id as text) mod 10 is not 0).
 
 Since the successors of a context are a subset of those of its suffix, what is
-excluded depends on the longer context alone, so the trie's tables are computed
-once and a batch is scored level by level for all its distinct contexts.
+excluded depends on the longer context alone, so a part of the trie computes its
+tables once for all keys it is asked for.
 
 Scale: counts of all training texts leave each task summed, and are summed again
-by hash.  The trie is broadcast while it has at most MAX_GRAMS grams and is dealt
-out by gram_values beyond; no count is left out, and both give equal results.
-Word counts travel as a
-broadcast while there are at most MAX_WORDS different words and by a shuffled
-join beyond; both give equal results.
+by hash; no count is left out.  While there are at most MAX_WORDS different words
+and MAX_GRAMS grams both are broadcast (16 MB of grams, 50 MB of words), and scoring
+is one pass without a shuffle.  Beyond that nothing that grows passes through the
+driver: texts are gathered in chunks, each chunk asks once for each of its
+different words and grams, words are joined to their counts, grams to the part of
+the trie that holds their contexts, and the values are summed in the chunk
+(gram_values).  Both give equal results.
 
 Defined cases: null or empty text is the END alone; a null doc_id counts as the
 empty text for the split; without training rows every count is 0 and the trie is
@@ -41,8 +43,8 @@ from cinelith.llm.text import slices, words
 from cinelith.llm.url_filter import grams
 
 ORDER = 4
-MAX_GRAMS = 4_000_000
-MAX_WORDS = 8_000_000
+MAX_GRAMS = 1 << 20
+MAX_WORDS = 1 << 22
 END_WORD = -1  # stands for the end token among word hashes
 _HOLD = 4_000_000
 
@@ -133,8 +135,16 @@ def _summed(texts: DataFrame, keys_of, schema: str) -> DataFrame:
     return texts.select("text").mapInArrow(counted, schema).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def token_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.append(words(data, offsets)[0].view(np.int64), np.full(len(offsets) - 1, END_WORD))
+def token_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every word, then of the end of each text."""
+    h, _, doc = words(data, offsets)
+    n = len(offsets) - 1
+    return np.append(h.view(np.int64), np.full(n, END_WORD)), np.append(doc, np.arange(n))
+
+
+def gram_keys(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, text) of every byte and end, by text."""
+    return grams(data, offsets, order), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) + 1)
 
 
 def fit_ppm(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -142,101 +152,77 @@ def fit_ppm(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return materialize(_summed(texts, lambda d, o: grams(d, o, order), "key bigint, n bigint"), "grams")
 
 
-def trie_by_join(rows: DataFrame, counts: DataFrame, n_grams: int, max_grams: int, order: int = ORDER) -> DataFrame:
-    """rows (with text) and their score as _trie, for any number of grams."""
-
-    def values(key: np.ndarray, held: dict, low: dict) -> np.ndarray:
-        return Ppm(held[0][0], held[0][1].astype(float), order, (low[0][0], low[0][1].astype(float))).log10(key)
-
-    classed = counts.select(F.lit(0).alias("class"), F.col("key").alias("gram"), "n")
-    done = gram_values.summed(rows, classed, n_grams, max_grams, lambda d, o: grams(d, o, order), values)
-    return done.select("row.*", F.col("total").alias("_trie"))
-
-
 def fit_words(texts: DataFrame) -> tuple[DataFrame, int, int]:
     """((key, n) of every training token, N, V)."""
-    counts = materialize(_summed(texts, token_keys, "key bigint, n bigint"), "tokens")
+    counts = materialize(_summed(texts, lambda d, o: token_keys(d, o)[0], "key bigint, n bigint"), "tokens")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     return counts, total.n or 0, total.v
 
 
-def base_by_broadcast(rows: DataFrame, counts: DataFrame, smooth: float, mass: float, model: Ppm | None) -> DataFrame:
-    """rows (with text) as struct `row`, n_tokens, n_known, base_score and the trie's score."""
-    found = counts.toArrow().sort_by("key")
-    spark = rows.sparkSession.sparkContext
-    sent, trie = spark.broadcast((found.column("key").to_numpy(), found.column("n").to_numpy().astype(np.int32 if mass < 2**31 else np.int64))), spark.broadcast(model)
+def by_broadcast(docs: DataFrame, counts: DataFrame, trie: DataFrame, smooth: float, mass: float, order: int) -> DataFrame:
+    """docs as struct `row`, n_tokens, n_known, base_score and score, in one pass."""
+    found, grams_found = counts.toArrow().sort_by("key"), trie.toArrow()
+    model = Ppm(grams_found.column("key").to_numpy(), grams_found.column("n").to_numpy().astype(float), order)
+    sent = docs.sparkSession.sparkContext.broadcast((found.column("key").to_numpy(), found.column("n").to_numpy().astype(np.int32 if mass < 2**31 else np.int64), model))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = sent.value
-        for b in batches:
-            out = np.zeros((3, b.num_rows))
-            score = np.zeros(b.num_rows)
-            for lo, hi, data, offsets in slices(b.column("text")):
-                h, _, doc = words(data, offsets)
-                h, doc = np.append(h.view(np.int64), np.full(hi - lo, END_WORD)), np.append(doc, np.arange(hi - lo))
-                each, where = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(key, each), max(len(key) - 1, 0))
-                c = np.where(key[at] == each, n[at], 0) if len(key) else np.zeros(len(each))
-                out[0, lo:hi] = np.bincount(doc, minlength=hi - lo)
-                out[1, lo:hi] = np.bincount(doc, (c > 0)[where], hi - lo)
-                out[2, lo:hi] = np.bincount(doc, np.log10((c + smooth) / mass)[where], hi - lo)
-                if trie.value is not None:
-                    score[lo:hi] = trie_scores(trie.value, data, offsets)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(out[2]), pa.array(score)],
-                ["row", "n_tokens", "n_known", "base_score", "score"],
-            )
-
-    packed = rows.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return packed.mapInArrow(scored, f"row {rows.schema.simpleString()}, n_tokens bigint, n_known bigint, base_score double, score double")
-
-
-def trie_scores(model: Ppm, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of each text."""
-    each, where = np.unique(grams(data, offsets, len(model.levels) - 1), return_inverse=True)
-    ends = offsets[1:] + np.arange(1, len(offsets))
-    return np.diff(np.cumsum(model.log10(each)[where])[ends - 1], prepend=0.0)
-
-
-def base_by_join(rows: DataFrame, counts: DataFrame, smooth: float, mass: float, model: Ppm | None) -> DataFrame:
-    """As base_by_broadcast, for any number of different words."""
-    empty = counts.limit(0)
-    keyed = base_by_broadcast(rows.select("*", F.expr("uuid()").alias("_at")), empty, smooth, mass, model).select("row", "score")
-    keyed = materialize(keyed, "trie-scores")
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n, model = sent.value
         for b in batches:
-            ids = np.array(b.column("at").to_pylist(), object)
+            out = np.zeros((4, b.num_rows))
             for lo, hi, data, offsets in slices(b.column("text")):
-                h, _, doc = words(data, offsets)
-                h, doc = np.append(h.view(np.int64), np.full(hi - lo, END_WORD)), np.append(doc, np.arange(hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][doc], pa.string()), pa.array(h)], ["at", "key"])
+                key, doc = token_keys(data, offsets)
+                each, where = np.unique(key, return_inverse=True)
+                at = np.minimum(np.searchsorted(known, each), max(len(known) - 1, 0))
+                c = np.where(known[at] == each, n[at], 0)[where] if len(known) else np.zeros(len(key))
+                each, where = np.unique(grams(data, offsets, order), return_inverse=True)
+                ends = np.diff(offsets) + 1
+                out[:3, lo:hi] = [np.bincount(doc, minlength=hi - lo), np.bincount(doc, c > 0, hi - lo), np.bincount(doc, np.log10((c + smooth) / mass), hi - lo)]
+                out[3, lo:hi] = np.add.reduceat(model.log10(each)[where], np.cumsum(ends) - ends)
+            yield pa.RecordBatch.from_arrays([b.column("row"), *map(pa.array, out)], ["row", "n_tokens", "n_known", "base_score", "score"])
 
-    tokens = keyed.select(F.col("row._at").alias("at"), F.col("row.text").cast("string").alias("text")).mapInArrow(listed, "at string, key bigint")
-    tokens = tokens.groupBy("at", "key").agg(F.count("*").alias("m")).join(counts, "key", "left")
-    c = F.coalesce("n", F.lit(0))
-    sums = tokens.groupBy("at").agg(
-        F.sum("m").alias("n_tokens"), F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("n_known"), F.sum(F.col("m") * F.log10((c + smooth) / mass)).alias("base_score")
-    )
-    row = F.struct(*[F.col("row")[c].alias(c) for c in rows.columns]).alias("row")
-    return keyed.join(sums, F.col("row._at") == F.col("at")).select(row, "n_tokens", "n_known", "base_score", "score")
+    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return packed.mapInArrow(scored, f"row {docs.schema.simpleString()}, n_tokens double, n_known double, base_score double, score double")
 
 
-def score(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> DataFrame:
+def by_join(docs: DataFrame, counts: DataFrame, trie: DataFrame, smooth: float, mass: float, order: int, n_grams: int, chunk: int, part_grams: int) -> DataFrame:
+    """As by_broadcast, for any number of words and grams."""
+
+    def log_values(key: np.ndarray, held: dict, low: dict) -> np.ndarray:
+        return Ppm(held[0][0], held[0][1].astype(float), order, (low[0][0], low[0][1].astype(float))).log10(key)
+
+    def sums(data: np.ndarray, offsets: np.ndarray, lookup) -> list[np.ndarray]:
+        size = len(offsets) - 1
+        key, doc = token_keys(data, offsets)
+        c = lookup(0, key)
+        key, _ = gram_keys(data, offsets, order)
+        ends = np.diff(offsets) + 1
+        return [
+            np.bincount(doc, minlength=size), np.bincount(doc, c > 0, size), np.bincount(doc, np.log10((c + smooth) / mass), size),
+            np.add.reduceat(lookup(1, key), np.cumsum(ends) - ends),
+        ]
+
+    chunks = gram_values.chunked(docs, chunk)
+    known = gram_values.asked(chunks, token_keys).join(counts, "key", "left").select("chunk", F.lit(0).alias("kind"), "key", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+    classed = trie.select(F.lit(0).alias("class"), F.col("key").alias("gram"), "n")
+    drawn = gram_values.model_values(gram_values.asked(chunks, lambda d, o: gram_keys(d, o, order)), classed, n_grams, log_values, part_grams)
+    values = known.unionByName(drawn.select("chunk", F.lit(1).alias("kind"), "key", "value"))
+    return gram_values.added(chunks, values, sums, ["n_tokens", "n_known", "base_score", "score"], docs.columns)
+
+
+def score(
+    docs: DataFrame, smooth: float = 0.1, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, chunk: int = gram_values.CHUNK, part_grams: int = gram_values.PART_GRAMS, order: int = ORDER
+) -> DataFrame:
     """docs as struct `row`, n_tokens, n_known, train_tokens, base_score and score."""
     train = docs.where(id_bucket(10) != 0).select(F.col("text").cast("string").alias("text"))
-    trie, model = fit_ppm(train), None
-    n_grams = trie.count()
-    if n_grams <= max_grams:
-        found = trie.toArrow()
-        model = Ppm(found.column("key").to_numpy(), found.column("n").to_numpy().astype(float))
+    trie = fit_ppm(train, order)
     counts, n, v = fit_words(train)
-    rows = docs if model is not None else trie_by_join(docs, trie, n_grams, max_grams)
-    done = (base_by_broadcast if v <= max_words else base_by_join)(rows, counts, 0.1, n + 0.1 * (v + 1), model)
-    if model is None:
-        row = F.struct(*[F.col("row")[c].alias(c) for c in docs.columns]).alias("row")
-        done = done.select(row, "n_tokens", "n_known", "base_score", F.col("row._trie").alias("score"))
-    return done.select("row", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    mass, n_grams = n + smooth * (v + 1), trie.count()
+    if v <= max_words and n_grams <= max_grams:
+        done = by_broadcast(docs, counts, trie, smooth, mass, order)
+    else:
+        done = by_join(docs, counts, trie, smooth, mass, order, n_grams, chunk, part_grams)
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("n_tokens", "n_known")]
+    return done.select("row", *whole, F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ one pass without a shuffle, so repeated URLs are no hot key.  Larger ones are
 dealt out by gram_values; no count is left out, and both give equal results.
 Calibration sees a histogram of BINS bins.
 
-Defined cases: a null URL or one without :// has an empty host and path, fits no
-rule, and is judged by its whole text (a null or empty one scores 0, which is
+Defined cases: models learn and score whole URLs, scheme, query and fragment
+included; a null URL or one without :// has an empty host and path and fits no rule (a null or empty one scores 0, which is
 allowed only if the threshold is not above 0); rows that repeat are judged each;
 with only one class to learn from every score is 0 and the threshold 0; columns
 besides page_id and url are not read.
@@ -165,7 +165,16 @@ def score_by_join(rows: DataFrame, counts: DataFrame, n_grams: int, max_grams: i
         good, bad = (Markov(*held[c], order, low[c]) for c in (1, 0))
         return good.log_probability(key) - bad.log_probability(key)
 
-    done = gram_values.summed(rows, counts, n_grams, max_grams, lambda d, o: grams(d, o, order), values)
+    def keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return grams(data, offsets, order), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) + 1)
+
+    def sums(data: np.ndarray, offsets: np.ndarray, lookup) -> list[np.ndarray]:
+        ends = np.diff(offsets) + 1
+        return [np.add.reduceat(lookup(0, keys(data, offsets)[0]), np.cumsum(ends) - ends)]
+
+    chunks = gram_values.chunked(rows)
+    found = gram_values.model_values(gram_values.asked(chunks, keys), counts, n_grams, values, max_grams)
+    done = gram_values.added(chunks, found.withColumn("kind", F.lit(0)), sums, ["total"], rows.columns)
     size = F.coalesce(F.octet_length("row.text"), F.lit(0))
     return done.select("row", F.when(size > 0, F.col("total") / (size + 1)).otherwise(0.0).alias("score"))
 
@@ -196,7 +205,7 @@ def score(rows: DataFrame, models: dict | tuple[DataFrame, int, int], order: int
 def judge(pages: DataFrame, rules: tuple = RULES, max_grams: int = MAX_GRAMS) -> DataFrame:
     """page_id, url, host, path, rule, score and verdict of every row."""
     rows = ruled(pages, rules)
-    text = rows.withColumn("text", F.when(F.col("host") != "", F.concat("host", "path")).otherwise(F.coalesce("url", F.lit(""))))
+    text = rows.withColumn("text", F.coalesce("url", F.lit("")))
     models, threshold = fit(text.select("text", F.when(F.col("by_rule").isNotNull(), (F.col("by_rule") == "allow").cast("int")).alias("class")), max_grams=max_grams)
     done = score(text, models).select("row.*", "score")
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
