@@ -72,15 +72,15 @@ def lm_rows(rows):
     return [(i, len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(b, 7), round(s, 7)) for (i, t), b, s in zip(rows, base, scores, strict=True)]
 
 
-@pytest.mark.parametrize(("chunk", "part"), [(1 << 24, 1 << 18), (200, 40)])
-def test_lm_scoring(spark, chunk, part):
+@pytest.mark.parametrize(("most", "chunk", "part"), [(10**6, 0, 0), (0, 1 << 24, 1 << 18), (0, 200, 40)])
+def test_lm_scoring(spark, most, chunk, part):
     rng = np.random.default_rng(4)
     rows = [*enumerate(LM_TEXTS), (None, "no id"), (3, LM_TEXTS[3]), *((i, " ".join(rng.choice(["one", "two", "café", "Z", "zebra!"], 8))) for i in range(20, 60))]
-    docs = spark.createDataFrame([(i, t, 1, 2, "c", "d") for i, t in rows], "doc_id long, text string, chunk long, row int, key string, value string").repartition(3)
-    found = lm_scoring.score(docs, chunk=chunk, part_grams=part).collect()
+    docs = spark.createDataFrame([(i, t, 1, 2, "c", "d") for i, t in rows], "doc_id long, text string, chunk long, row int, rest string, value string").repartition(3)
+    found = lm_scoring.score(docs, max_grams=most, chunk=chunk, part_grams=part).collect()
     got = Counter((r.row.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 7), round(r.score, 7)) for r in found)
     assert got == Counter(lm_rows(rows))
-    assert all(r.row.chunk == 1 and r.row.key == "c" for r in found)
+    assert all(r.row.chunk == 1 and r.row.rest == "c" for r in found) and Counter(r.row.text for r in found) == Counter(t for _, t in rows)
 
 
 def test_lm_scoring_without_training_rows(spark):

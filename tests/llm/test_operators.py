@@ -124,7 +124,9 @@ def test_minhash_repeated_ids(spark):
     one, two, three, four = (" ".join(map(str, rng.integers(0, 10**6, 40))) for _ in range(4))
     rows = [(3, one), (5, one), (5, two), (7, two + " end"), (8, three), (8, four), (8, None), (9, four), (None, one), (11, ""), (12, three), (12, three), (13, "a b"), (13, "")]
     docs = spark.createDataFrame([(i, t, 1, "c", [1]) for i, t in rows], "doc_id long, text string, rk long, rep string, u array<int>")
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.digest(docs).collect()) == components_by_hand(rows)
+    for sent in (minhash.MOST_SENT, 0):
+        found = minhash.near_duplicates(docs, most_sent=sent).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == components_by_hand(rows)
     kept = {(r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs).collect()}
     assert {i for i, _ in kept} == {3, 8, None, 11, 13} and (8, four) in kept
 
