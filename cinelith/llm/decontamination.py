@@ -9,26 +9,35 @@ around each hit Myers' bit-parallel algorithm finds the least edit distance of
 the whole item to any stretch of the text.  Nothing is sampled and no partner is
 capped.
 
-Scale: one pass over the documents per BLOCK_CHARS characters of benchmark, no
-shuffle.  A block is what is broadcast, so its size is bounded whatever the size
-of the benchmark.  A block is itself split so that one item that is longer than
-a block is alone in its block.
+Scale: a benchmark of up to BLOCK_CHARS characters is one pass over the documents
+without a shuffle.  A larger one is cut into blocks of that size, each of which is
+broadcast and searched by a job of its own, so a worker holds one block's machine
+(about 62 bytes a character, measured) whatever the size of the benchmark; only
+the keys of rows with hits are written, and joined to the rows at the end.  An item
+that is longer than a block is alone in its block.  A Python worker keeps the
+machine of its last block, so it is built once a worker, not once a task.
 
 Defined cases: null or empty texts hold nothing; items that are null or empty
-after normalisation match nothing; items with an equal text are each reported;
-rows that repeat are judged each; columns besides doc_id and text are not read.
+after normalisation match nothing; an item of a few characters is found wherever
+these stand, inside words too, so most texts hold it (none is left out here);
+items with an equal text are each reported; rows that repeat are judged each;
+columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinelith.llm.shared import materialize, row_keys, whole_text
+
 CHARS_PER_EDIT = 14
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 #: ASCII punctuation goes, A-Z is lower-cased, control bytes are blanks.
 _PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _MAP = bytes(32 if b < 33 or b == 127 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -138,13 +147,24 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[lis
         yield held
 
 
+_held: dict[str, Matcher] = {}
+
+
+def matcher_of(name: str, items: list[tuple[int, str]], chars_per_edit: int) -> Matcher:
+    """This worker's matcher of a block; the one before is given up."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Matcher(items, chars_per_edit)
+    return _held[name]
+
+
 def find(docs: DataFrame, items: list[tuple[int, str]], chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """docs as struct `row`, with hits: HITS, places in the normalised text."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32())]))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, chars_per_edit)
+        matcher = matcher_of(name, sent.value, chars_per_edit)
         for b in batches:
             hits = [
                 [dict(zip(("item_id", "start", "end", "distance"), h, strict=True)) for h in matcher.find(normalise(t))]
@@ -158,11 +178,19 @@ def find(docs: DataFrame, items: list[tuple[int, str]], chars_per_edit: int = CH
 
 def judge(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs as struct `row`, with the hits of all blocks."""
-    out = docs.select(F.struct("*").alias("row"), F.array().cast(HITS).alias("hits"))
-    for items in blocks(benchmark, block_chars):
-        one = find(out.select(F.col("row.text").alias("text"), "row", "hits"), items, chars_per_edit)
-        out = one.select("row.row", F.concat("row.hits", "hits").alias("hits"))
-    return out
+    every = blocks(benchmark, block_chars)
+    first, second = next(every, []), next(every, None)
+    if second is None:
+        return find(docs, first, chars_per_edit)
+    rows = docs.select(F.struct("*").alias("row"), whole_text().alias("text"), "doc_id").select("row", "text", *row_keys())
+    slim = rows.select("rk1", "rk2", "text")
+    found = None
+    for items in chain([first, second], every):
+        one = find(slim, items, chars_per_edit).where(F.size("hits") > 0).select("row.rk1", "row.rk2", "hits").dropDuplicates(["rk1", "rk2"])
+        one = materialize(one, "hits")
+        found = one if found is None else found.unionByName(one)
+    found = found.groupBy("rk1", "rk2").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    return rows.join(found, ["rk1", "rk2"], "left").select("row", F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
