@@ -54,7 +54,7 @@ STARS = 3
 PIVOTS = 4
 #: Buckets that a member must share with a pivot to be confirmed in a star round; the exhaustive round takes the others.
 COMMON = 6
-#: Ids that are broadcast, 8 bytes each; more are joined by a shuffle.
+#: Rows of ids that are broadcast, 36 bytes each at most; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 BLOCK = 1024
 STRAND = 8192
@@ -172,11 +172,15 @@ def table_members(reps: DataFrame) -> DataFrame:
     return materialize(keys.join(full, "key"), "members")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, most_sent: int = MOST_SENT) -> DataFrame:
     """The rows of pairs (a, b) whose full sets are similar enough.  texts: (id, text)."""
     dealt = materialize(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")), "pairs")
-    heads = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
-    members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("side"), "b", "text")
+    heads = dealt.select("a", "salt").distinct().select(F.col("a").alias("id"), "a", "salt", F.lit(0).alias("side"), F.col("a").alias("b"))
+    members = dealt.select(F.col("b").alias("id"), "a", "salt", F.lit(1).alias("side"), "b")
+    # heads and members meet the texts in one join; while they are few, the texts need not be dealt out for it
+    asked = heads.unionByName(members)
+    asked = F.broadcast(asked) if 2 * dealt.count() <= most_sent else asked.hint("merge")
+    rows = texts.join(asked, "id").select("a", "salt", "side", "b", "text")
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, held = None, np.zeros(0, np.uint64)
@@ -198,7 +202,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
                 x, y = zip(*good, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
     return rows.select("a", "side", "b", "text").mapInArrow(confirmed, "a bigint, b bigint")
 
 
@@ -315,8 +319,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, most_sent: int = MO
     comp = materialize(wanted.select(F.col("id").alias("rep"), F.col("id").alias("comp")), "components")
     for seed in range(STARS):
         pairs, members = star_pairs(members, comp, seed)
-        comp = merged(comp, confirm(pairs, texts, percent))
-    comp = merged(comp, confirm(open_pairs(members, comp, classes.select("rep", "u"), texts), texts, percent))
+        comp = merged(comp, confirm(pairs, texts, percent, most_sent))
+    comp = merged(comp, confirm(open_pairs(members, comp, classes.select("rep", "u"), texts), texts, percent, most_sent))
     sets = repeated_ids(sig)
     if sets is not None:
         # rows that repeat a doc_id with other texts are one document, so classes that share an id meet
