@@ -1,4 +1,4 @@
-"""Suffix-array dedup: repeated byte strings found by a common-prefix-aware distributed merge sort.
+"""Suffix-array dedup: repeated byte strings found by a distributed merge sort of front-coded runs.
 
 A byte is removed if a string of LENGTH bytes that covers it also starts in a
 document with a smaller doc_id.  Sorting all suffixes would move many times the
@@ -13,10 +13,11 @@ input, so suffixes are first thinned without loss:
    gram and task goes to the bucket that decides the rest.
 2. Stretches, written from their anchor on, are sorted in each task; equal ones
    collapse to those of the smallest doc_id (the others are covered).  Runs are front-coded
-   (shared prefix lengths, rests), dealt out by ranges of strings, and merged
-   by a loser tree that keeps each loser's common prefix with the last winner and
-   never compares a byte of it again.  Equal stretches meet; all but the smallest
-   doc_id are covered.
+   (shared prefix lengths, rests) and dealt out by ranges of strings.  A part's
+   pieces of runs are merged by a stable sort, up to JOINED strings; a usual part
+   has fewer.  In larger ones such merged runs meet in a loser tree that keeps each
+   loser's common prefix with the last winner and never compares a byte of it
+   again.  Equal stretches meet; all but the smallest doc_id are covered.
 3. Different stretches with one anchor gram stand next to each other in that
    order.  Only they can share some of their windows; the windows that end inside
    what a stretch has in common with a neighbour are sorted and merged the same way.
@@ -28,9 +29,12 @@ every exchange.  Texts travel compressed, twice.  A part is a range of strings,
 so a gram that stands in many different contexts is split over parts like any
 other; beyond RANGES ranges strings are dealt out by a hash of their first bytes
 too.  Parts are sized by entries (PART), so a task's memory does not follow the
-session's shuffle partitions; their runs are decoded in blocks as the merge
-goes.  Splitters come from a sample of the sorted strings themselves, DRAWS a
-range; they steer balance, not results.
+session's shuffle partitions.  Pieces of runs grow in number with the square of
+the input and get shorter, so all pieces that a task writes are coded at once,
+and a part's pieces are decoded at once and joined up to JOINED strings; only
+such joined runs meet in the loser tree, whose width is thus that of a part, not
+of the input.  Splitters come from a sample of the sorted strings themselves,
+DRAWS a range; they steer balance, not results.
 
 Defined cases: null text is empty; texts shorter than LENGTH bytes lose nothing;
 a null doc_id neither covers nor loses bytes; rows that repeat a doc_id do not
@@ -54,10 +58,12 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1  # grams in a window, and at most windows in a stretch
 WIDE = LENGTH + SPAN + 1  # a stretch's bytes, then where its left part begins, then its size
 PART = 200_000  # entries of a part of a sort
+SORTED = 1 << 24  # bytes of strings that a task sorts at once
+JOINED = 1 << 18  # entries that pieces of runs are joined to before the loser tree merges them
 BUCKET_BYTES = 8 << 20  # bytes of text whose grams make a bucket
 RANGES = 4096
 DRAWS = 32
-SLICE = 1 << 18  # bytes of text worked on at once (one text at least)
+SLICE = 1 << 16  # bytes of text worked on at once (one text at least); the hashes of more leave the CPU's cache
 _HOLD = 600_000
 _ROWS = 16_384
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -144,16 +150,74 @@ def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         lo += len(texts)
 
 
-def _planes(a: np.ndarray, skip: int = 0) -> bytes:
-    """The bytes of a, all first bytes together and so on (such columns compress), without the lowest `skip`."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T[skip:]).tobytes()
+def _plane_places(cuts: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's first byte stands in the planes of its cut, and how far its other bytes are from each other."""
+    n = np.diff(cuts)
+    return np.arange(cuts[-1]) + (wide - 1) * np.repeat(cuts[:-1], n), np.repeat(n, n)
 
 
-def _unplanes(raw: bytes, at: int, n: int, kind: type, skip: int = 0) -> tuple[np.ndarray, int]:
-    wide = np.dtype(kind).itemsize
-    table = np.zeros((n, wide), np.uint8)
-    table[:, skip:] = np.frombuffer(raw, np.uint8, n * (wide - skip), at).reshape(wide - skip, n).T
-    return table.view(kind).ravel(), at + n * (wide - skip)
+def _planes(a: np.ndarray, cuts: np.ndarray, skip: int = 0) -> bytes:
+    """The bytes of each cut of a, all first bytes together and so on (such columns compress), without the lowest `skip`."""
+    rows = a.view(np.uint8).reshape(len(a), -1)[:, skip:]
+    at, step = _plane_places(cuts, rows.shape[1])
+    out = np.empty(rows.size, np.uint8)
+    for b in range(rows.shape[1]):
+        out[at + b * step] = rows[:, b]
+    return out.tobytes()
+
+
+def _unplanes(raw: bytes, cuts: np.ndarray, kind: type, skip: int = 0) -> np.ndarray:
+    flat, wide = np.frombuffer(raw, np.uint8), np.dtype(kind).itemsize
+    table = np.zeros((cuts[-1], wide), np.uint8)
+    at, step = _plane_places(cuts, wide - skip)
+    for b in range(wide - skip):
+        table[:, skip + b] = flat[at + b * step]
+    return table.view(kind).ravel()
+
+
+def _pieces(columns: list[tuple[bytes, np.ndarray]]) -> list[bytes]:
+    """A binary for each cut: what each column, given with its cuts in bytes, has of it."""
+    views = [[view[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] for view, cuts in ((memoryview(raw), cuts.tolist()) for raw, cuts in columns)]
+    return [b"".join(piece) for piece in zip(*views, strict=True)]
+
+
+def packed(cuts: np.ndarray, rk: np.ndarray, doc: np.ndarray | None, *columns: tuple[np.ndarray, int]) -> list[bytes]:
+    """A binary for each cut of the rows: sizes, each rk (and its doc) once, the columns as byte planes.
+
+    All cuts are packed at once, as there are many small ones in large inputs.
+    columns are given with the number of lowest bytes to leave out.
+    """
+    owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    order = np.lexsort((rk, owner))
+    sorted_rk = rk[order]
+    fresh = np.append(True, (sorted_rk[1:] != sorted_rk[:-1]) | (owner[1:] != owner[:-1]))
+    who = order[fresh]
+    whose = np.searchsorted(owner[fresh], np.arange(len(cuts)))
+    place = np.empty(len(rk), np.uint32)
+    place[order] = np.cumsum(fresh) - 1 - whose[owner]
+    heads = np.stack([np.diff(cuts), np.diff(whose)], 1).astype(np.int64)
+    parts = [(heads.tobytes(), 16 * np.arange(len(cuts))), (rk[who].tobytes(), 8 * whose)]
+    if doc is not None:
+        parts.append((doc[who].tobytes(), 8 * whose))
+    for column, skip in ((place, 0), *columns):
+        column = np.ascontiguousarray(column)
+        parts.append((_planes(column, cuts, skip), (column.itemsize - skip) * cuts))
+    return _pieces(parts)
+
+
+def unpacked(raws: list[bytes], with_doc: bool, *kinds: tuple[type, int]) -> list[np.ndarray]:
+    """[rk, doc if there, each column] of the rows of all raws, one behind the other."""
+    n, docs = np.frombuffer(b"".join([r[:16] for r in raws]), np.int64).reshape(-1, 2).T
+    cuts, at = np.append(0, np.cumsum(n)), np.full(len(raws), 16)
+
+    def section(size: np.ndarray) -> bytes:
+        nonlocal at
+        lo, at = at, at + size
+        return b"".join([r[a:b] for r, a, b in zip(raws, lo.tolist(), at.tolist(), strict=True)])
+
+    known = [np.frombuffer(section(8 * docs), np.int64) for _ in range(1 + with_doc)]
+    place = _unplanes(section(4 * n), cuts, np.uint32) + np.repeat(np.cumsum(docs) - docs, n)
+    return [k[place] for k in known] + [_unplanes(section((np.dtype(kind).itemsize - skip) * n), cuts, kind, skip) for kind, skip in kinds]
 
 
 def _per_row(rk: np.ndarray, number: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -193,12 +257,9 @@ def shared_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFr
             gram, doc, rk, number = gram[keep], doc[keep], rk[keep], number[keep]
             bucket = gram // np.uint64(-(-(1 << 64) // buckets))
             edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            for first, end in zip(edges.tolist(), np.append(edges[1:], len(gram)).tolist(), strict=True):
-                at = slice(first, end)
-                who, row = np.unique(rk[at], return_index=True)
-                place = np.searchsorted(who, rk[at]).astype(np.uint32)
-                entries = np.int64([end - first, len(who)]).tobytes() + who.tobytes() + doc[at][row].tobytes() + _planes(gram[at], 2) + _planes(place) + _planes(number[at])
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[first]], pa.int32()), pa.array([entries]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], names)
+            entries = packed(np.append(edges, len(gram)), rk, doc, (gram, 2), (number, 0))
+            n = len(entries)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array(entries, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names)
 
         for b in batches:
             doc_ids, keys = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("rk").to_numpy()
@@ -217,39 +278,33 @@ def shared_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFr
         bucket, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            columns: list[list[np.ndarray]] = [[], [], [], []]
-            for e in held:
-                n, docs = np.frombuffer(e, np.int64, 2).tolist()
-                who, doc = np.frombuffer(e, np.int64, docs, 16), np.frombuffer(e, np.int64, docs, 16 + 8 * docs)
-                gram, at = _unplanes(e, 16 + 16 * docs, n, np.uint64, 2)
-                place, at = _unplanes(e, at, n, np.uint32)
-                number, _ = _unplanes(e, at, n, np.int32)
-                for c, found in zip(columns, (gram, doc[place], who[place], number), strict=True):
-                    c.append(found)
-            gram, doc, rk, number = map(np.concatenate, columns)
+            rk, doc, gram, number = unpacked(held, True, (np.uint64, 2), (np.int32, 0))
             order = np.argsort(gram, kind="stable")
             gram, doc, rk, number = gram[order], doc[order], rk[order], number[order]
             starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
             several = (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | (np.minimum.reduceat(number, starts) < 0)
             out = np.repeat(several, np.diff(starts, append=len(gram))) & (number >= 0)
-            yield from directed(rk[out], number[out])
+            if out.any():
+                yield from directed(rk[out], number[out])
 
         def directed(rk: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
             """Picks by where their row will gather them: a row for each target."""
             target = rk % buckets
             order = np.argsort(target, kind="stable")
-            edges = np.searchsorted(target[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(edges)):
-                at = order[edges[k] : edges[k + 1]]
-                who, place = np.unique(rk[at], return_inverse=True)
-                raw = np.int64([len(at), len(who)]).tobytes() + who.tobytes() + _planes(place.astype(np.uint32)) + _planes(number[at])
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([raw])], ["target", "raw"])
+            target = target[order]
+            edges = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
+            raw = packed(np.append(edges, len(target)), rk[order], None, (number[order], 0))
+            yield pa.RecordBatch.from_arrays([pa.array(target[edges].astype(np.int32)), pa.array(raw, pa.binary())], ["target", "raw"])
 
+        sure: list[tuple] = []
         for b in batches:
             mine = b.column("rk").is_valid()
             lists = b.column("picks").filter(mine)
             if len(lists):
-                yield from directed(np.repeat(b.column("rk").filter(mine).to_numpy(), lists.value_lengths().to_numpy()), lists.flatten().to_numpy())
+                sure.append((np.repeat(b.column("rk").filter(mine).to_numpy(), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()))
+                if sum(len(x[0]) for x in sure) > _HOLD:
+                    yield from directed(*map(np.concatenate, zip(*sure, strict=True)))
+                    sure.clear()
             for k, entries in zip(b.column("bucket").to_pylist(), b.column("entries"), strict=True):
                 if not entries.is_valid:
                     continue
@@ -260,28 +315,26 @@ def shared_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFr
                 held.append(entries.as_py())
         if held:
             yield from close()
+        if sure:
+            yield from directed(*map(np.concatenate, zip(*sure, strict=True)))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            rk, number = (np.concatenate(c) for c in zip(*held, strict=True))
+            rk, number = unpacked(held, False, (np.int32, 0))
             order = np.lexsort((number, rk))
             rk, number = rk[order], number[order]
             fresh = np.append(True, (rk[1:] != rk[:-1]) | (number[1:] != number[:-1]))
             yield pa.RecordBatch.from_arrays(list(_per_row(rk[fresh], number[fresh])), ["rk", "picks"])
 
         for b in batches:
-            for k, packed in zip(b.column("target").to_pylist(), b.column("raw"), strict=True):
-                raw = packed.as_py()
+            for k, raw in zip(b.column("target").to_pylist(), b.column("raw").to_pylist(), strict=True):
                 if k != target:
                     if held:
                         yield from close()
                     target, held = k, []
-                n, docs = np.frombuffer(raw, np.int64, 2).tolist()
-                place, at = _unplanes(raw, 16 + 8 * docs, n, np.uint32)
-                number, _ = _unplanes(raw, at, n, np.int32)
-                held.append((np.frombuffer(raw, np.int64, docs, 16)[place], number))
+                held.append(raw)
         if held:
             yield from close()
 
@@ -294,10 +347,10 @@ def shared_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFr
 def stretch_strings(data: np.ndarray, anchor: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Rows of WIDE bytes: from the anchor to the end, then from the start to the anchor, then sizes."""
     size, right = hi + LENGTH - lo, hi + LENGTH - anchor
-    column = np.arange(WIDE - 2)
-    place = np.where(column < right[:, None], anchor[:, None] + column, lo[:, None] + column - right[:, None])
+    column = np.arange(WIDE - 2, dtype=np.int32)
+    place = np.where(column < right.astype(np.int32)[:, None], anchor.astype(np.int32)[:, None], (lo - right).astype(np.int32)[:, None]) + column
     out = np.zeros((len(lo), WIDE), np.uint8)
-    out[:, :-2] = np.where(column < size[:, None], data[np.minimum(place, len(data) - 1)], 0)
+    np.multiply(data.take(place, mode="clip"), column < size.astype(np.int32)[:, None], out=out[:, :-2])
     out[:, -2], out[:, -1] = right, size
     return out
 
@@ -307,13 +360,29 @@ def unrotated(string: bytes) -> bytes:
     return string[right:size] + string[:right]
 
 
+def common_prefixes(table: np.ndarray) -> np.ndarray:
+    """What each row shares with the one before (the first row: 0)."""
+    out = np.zeros(len(table), np.uint8)
+    for lo in range(1, len(table), _ROWS):
+        rows = table[lo : lo + _ROWS]
+        differ = rows != table[lo - 1 : lo - 1 + len(rows)]
+        out[lo : lo + _ROWS] = np.where(differ.any(1), differ.argmax(1), table.shape[1])
+    return out
+
+
+def front_coded_cuts(table: np.ndarray, shared: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """front_coded() of each cut; shared is common_prefixes() of all rows."""
+    width = table.shape[1]
+    shared = shared.copy()
+    shared[cuts[:-1]] = 0
+    rests = b"".join([table[lo : lo + _ROWS][np.arange(width) >= shared[lo : lo + _ROWS, None]].tobytes() for lo in range(0, len(table), _ROWS)])
+    ends = np.append(0, np.cumsum(width - shared.astype(np.int64)))
+    return _pieces([(np.diff(cuts).astype("<u4").tobytes(), 4 * np.arange(len(cuts))), (shared.tobytes(), cuts), (rests, ends[cuts])])
+
+
 def front_coded(table: np.ndarray) -> bytes:
     """Sorted rows: their number, each one's shared prefix length, then the rests."""
-    width = table.shape[1]
-    differ = table[1:] != table[:-1]
-    shared = np.append(0, np.where(differ.any(1), differ.argmax(1), width)).astype(np.uint8)
-    keep = np.arange(width) >= shared[:, None]
-    return len(table).to_bytes(4, "little") + shared.tobytes() + table[keep].tobytes()
+    return front_coded_cuts(table, common_prefixes(table), np.array([0, len(table)]))[0]
 
 
 class Run:
@@ -324,23 +393,44 @@ class Run:
         self.n = int.from_bytes(coded[:4], "little")
         self.row, self.at, self.last = 0, 4 + self.n, np.zeros((1, width), np.uint8)
 
-    def more(self) -> tuple[list[bytes], list[int]]:
-        """The next strings, and what each shares with the one before; empty at the end."""
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """The next strings as rows of bytes, and what each shares with the one before; empty at the end."""
         shared = self.coded[4 + self.row : 4 + min(self.row + self.block, self.n)]
         self.row += len(shared)
-        column = np.arange(self.width)
-        keep = column >= shared[:, None]
-        table = np.concatenate([self.last, np.zeros(keep.shape, np.uint8)])
-        size = int(keep.sum())
-        table[1:][keep] = self.coded[self.at : self.at + size]
-        self.at += size
+        ends = np.cumsum(self.width - shared.astype(np.int64))
         # a byte that is not written again is that of the last row that wrote its column
-        source = np.where(keep, np.arange(1, len(shared) + 1, dtype=np.int32)[:, None], np.int32(0))
-        table = table[np.maximum.accumulate(source, axis=0), column]
-        self.last = table[-1:] if len(table) else self.last
+        written = np.append(0, ends)[:-1] + self.at - shared
+        columns = np.empty((self.width, len(shared)), np.uint8)
+        for c in range(self.width if len(shared) else 0):
+            at = np.flatnonzero(shared <= c)
+            before = at[0] if len(at) else len(shared)
+            columns[c, :before] = self.last[0, c]
+            columns[c, before:] = np.repeat(self.coded[written[at] + c], np.diff(at, append=len(shared))) if len(at) < len(shared) else self.coded[written + c]
+        table = np.ascontiguousarray(columns.T)
+        if len(shared):
+            self.at += int(ends[-1])
+            self.last = table[-1:].copy()
+        return table, shared
+
+    def more(self) -> tuple[list[bytes], list[int]]:
+        """rows() as lists."""
+        table, shared = self.rows()
         return table.view(f"S{self.width}").ravel().tolist(), shared.tolist()
 
 
+def joined(coded: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of several front-coded runs in order, and the place each had among all of theirs.
+
+    Runs behind each other decode as one, for each begins with a string that shares
+    nothing.  The stable sort finds the runs again and merges them.
+    """
+    sizes = [int.from_bytes(c[:4], "little") for c in coded]
+    whole = Run(b"".join([sum(sizes).to_bytes(4, "little"), *[c[4 : 4 + n] for c, n in zip(coded, sizes, strict=True)], *[c[4 + n :] for c, n in zip(coded, sizes, strict=True)]]), width, _ROWS)
+    table = np.concatenate([whole.rows()[0] for _ in range(0, whole.n, _ROWS)])
+    order = np.argsort(table.view(f"S{width}").ravel(), kind="stable")
+    return table[order], order
+
+
 def merge_runs(runs: list[Run], chunk: int = 1 << 15) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Chunks of (place among all runs' strings, common prefix with the string before, string) in order.
 
@@ -421,6 +511,24 @@ def merge_runs(runs: list[Run], chunk: int = 1 << 15) -> Iterator[tuple[list[int
         yield out
 
 
+def in_order(tables: Iterator[np.ndarray], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of (place among all strings, common prefix with the string before, strings) in the order of all sorted tables."""
+    first = next(tables)
+    second = next(tables, None)
+    if second is None:
+        shared = common_prefixes(first)
+        for lo in range(0, len(first), 1 << 15):
+            at = slice(lo, lo + (1 << 15))
+            yield np.arange(len(first))[at], shared[at], first[at]
+        return
+    # of several, only front-coded runs are held
+    runs = [Run(front_coded(t), width) for t in (first, second)]
+    del first, second
+    runs += (Run(front_coded(t), width) for t in tables)
+    for place, shared, strings in merge_runs(runs):
+        yield np.array(place), np.array(shared), np.array(strings, f"S{width}").view(np.uint8).reshape(-1, width)
+
+
 def shared_windows(table: np.ndarray, agreed: np.ndarray) -> np.ndarray:
     """How many of each stretch's first windows another may share.
 
@@ -436,23 +544,6 @@ def shared_windows(table: np.ndarray, agreed: np.ndarray) -> np.ndarray:
 ENTRY = np.dtype([("rk", np.int64), ("doc", np.int64), ("start", np.int32), ("size", np.int32)])
 
 
-def packed_entries(about: np.ndarray) -> bytes:
-    """Entries with each row's rk and doc written once, the rest as byte planes."""
-    who, first, place = np.unique(about["rk"], return_index=True, return_inverse=True)
-    fixed = np.int64([len(about), len(who)]).tobytes() + who.tobytes() + np.ascontiguousarray(about["doc"][first]).tobytes()
-    return fixed + b"".join(_planes(np.ascontiguousarray(a)) for a in (place.astype(np.uint32), about["start"], about["size"]))
-
-
-def unpacked_entries(raw: bytes) -> np.ndarray:
-    n, docs = np.frombuffer(raw, np.int64, 2).tolist()
-    place, at = _unplanes(raw, 16 + 16 * docs, n, np.uint32)
-    out = np.zeros(n, ENTRY)
-    out["rk"], out["doc"] = np.frombuffer(raw, np.int64, docs, 16)[place], np.frombuffer(raw, np.int64, docs, 16 + 8 * docs)[place]
-    out["start"], at = _unplanes(raw, at, n, np.int32)
-    out["size"], _ = _unplanes(raw, at, n, np.int32)
-    return out
-
-
 COVER = "rk bigint, start int, size int"
 
 
@@ -523,27 +614,29 @@ def merge_sorted(strings, make, width: int, entries: int, group: int) -> tuple[D
             held.clear()
             order = np.lexsort((about["doc"], table.view(f"S{width}").ravel()))
             table, about = table[order], about[order]
-            starts = np.flatnonzero(np.append(True, (table[1:] != table[:-1]).any(1)))
+            shared = common_prefixes(table)
+            starts = np.flatnonzero(shared < width)
             least = np.repeat(about["doc"][starts], np.diff(starts, append=len(table)))
             gone = about["doc"] > least
             if gone.any():
                 yield covers(*(about[c][gone] for c in ("rk", "start", "size")))
-            table, about = table[~gone], about[~gone]
+                table, about, shared = table[~gone], about[~gone], shared[~gone]
             part = np.searchsorted(splitters, table.view(f"S{width}").ravel(), "right")
             if lanes > 1:
                 part = part * lanes + (string_hashes(table[:, : group or width]) % np.uint64(lanes)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 table, about, part = table[order], about[order], part[order]
+                shared = common_prefixes(table)
             edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            for first, end in zip(edges.tolist(), np.append(edges[1:], len(part)).tolist(), strict=True):
-                at, p = slice(first, end), part[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(p)], pa.int32()), pa.array([front_coded(table[at])]), pa.array([packed_entries(about[at])]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], names
-                )
+            cuts = np.append(edges, len(part))
+            runs = front_coded_cuts(table, shared, cuts)
+            entries = packed(cuts, about["rk"], about["doc"], (about["start"], 0), (about["size"], 0))
+            n = len(edges)
+            yield pa.RecordBatch.from_arrays([pa.array(part[edges].astype(np.int32)), pa.array(runs, pa.binary()), pa.array(entries, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names)
 
         for made in make(batches):
             held.append(made)
-            if sum(len(h[0]) for h in held) > _HOLD // 4:
+            if sum(len(h[0]) for h in held) * width > SORTED:
                 yield from emit()
         if held:
             yield from emit()
@@ -555,23 +648,38 @@ def merge_sorted(strings, make, width: int, entries: int, group: int) -> tuple[D
         part, held = None, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            about = np.concatenate([unpacked_entries(e) for _, e in held])
-            runs = [Run(r, width, max(64, PART // (4 * len(held)))) for r, _ in held]
+            columns = unpacked([e for _, e in held], True, (np.int32, 0), (np.int32, 0))
+            about = np.zeros(len(columns[0]), ENTRY)
+            for name, column in zip(ENTRY.names, columns, strict=True):
+                about[name] = column
+            coded = [run for run, _ in held]
             held.clear()
+
+            def tables() -> Iterator[np.ndarray]:
+                seen = first = size = 0
+                for i, run in enumerate(coded):
+                    size += int.from_bytes(run[:4], "little")
+                    if size >= JOINED or i == len(coded) - 1:
+                        table, order = joined(coded[first : i + 1], width)
+                        about[seen : seen + size] = about[seen : seen + size][order]
+                        yield table
+                        first, seen, size = i + 1, seen + size, 0
+
             # the group of equal strings that the chunks so far ended with
-            places, shares, kept = [], [], []
+            tail = None
             first = True
-            for more in merge_runs(runs):
-                places, shares, kept = places + more[0], shares + more[1], kept + more[2]
-                starts = np.flatnonzero(np.array(shares) < width)
+            for more in in_order(tables(), width):
+                places, shares, kept = more if tail is None else map(np.concatenate, zip(tail, more, strict=True))
+                starts = np.flatnonzero(shares < width)
                 if starts[-1]:
                     yield from settled(about, places, shares, kept, starts, first)
-                    places, shares, kept, first = places[starts[-1] :], shares[starts[-1] :], kept[starts[-1] :], False
-            yield from settled(about, [*places, -1], [*shares, width - 1], kept, np.array([0, len(places)]), first)
+                    first = False
+                tail = tuple(c[starts[-1] :] for c in (places, shares, kept))
+            places, shares, kept = tail
+            yield from settled(about, places, np.append(shares, width - 1), kept, np.array([0, len(places)]), first)
 
-        def settled(about: np.ndarray, places: list, shares: list, kept: list, starts: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
+        def settled(about: np.ndarray, at: np.ndarray, share: np.ndarray, kept: np.ndarray, starts: np.ndarray, first: bool) -> Iterator[pa.RecordBatch]:
             """Covers and neighbours of all groups of equal strings but the last."""
-            at, share = np.array(places), np.array(shares)
             mine = about[at[: starts[-1]]]
             size = np.diff(starts)
             gone = mine["doc"] > np.repeat(np.minimum.reduceat(mine["doc"], starts[:-1]), size)
@@ -579,20 +687,19 @@ def merge_sorted(strings, make, width: int, entries: int, group: int) -> tuple[D
                 yield rows(mine["rk"][gone], pa.nulls(int(gone.sum()), pa.int64()), mine["start"][gone], mine["size"][gone], pa.nulls(int(gone.sum()), pa.binary()))
             if not group:
                 return
-            agreed = share[starts]
+            agreed = share[starts].astype(np.int64)
             if first:
                 agreed[0] = width
             agreed = np.maximum(agreed[:-1], agreed[1:])
             near = np.flatnonzero(agreed >= group)
             if not len(near):
                 return
-            table = np.array([kept[i] for i in starts[near].tolist()], f"S{width}").view(np.uint8).reshape(-1, width)
             windows = np.zeros(len(size), np.int64)
-            windows[near] = shared_windows(table, agreed[near])
+            windows[near] = shared_windows(kept[starts[near]], agreed[near])
             n = np.repeat(windows, size)
             out = np.flatnonzero((n > 0) & ~gone)
             if len(out):
-                string = pa.array([kept[i] for i in out.tolist()], pa.binary())
+                string = pa.array(kept[out].view(f"S{width}").ravel().tolist(), pa.binary())
                 yield rows(mine["rk"][out], mine["doc"][out], mine["start"][out], n[out].astype(np.int32), string)
 
         def rows(*columns) -> pa.RecordBatch:
@@ -651,7 +758,7 @@ def covered(rows: DataFrame) -> DataFrame:
                 part = slice(lo, lo + _ROWS)
                 # the last byte keeps a closing zero byte of the text from being taken for padding
                 table = np.ones((len(at[part]), LENGTH + 1), np.uint8)
-                table[:, :-1] = data[at[part][:, None] + np.arange(LENGTH)]
+                table[:, :-1] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at[part]]
                 yield table, keys[owner[part]], doc_ids[owner[part]], starts[owner[part]] + inner[part], np.full(len(table), LENGTH)
 
     # a whole copy of a smaller document's text is covered as it is

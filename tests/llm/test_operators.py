@@ -229,6 +229,40 @@ def test_suffix_dedup_hot_passage(spark, monkeypatch, part, ranges):
     assert Counter(tuple(r) for r in suffix_dedup.digest(docs).collect()) == removed_by_hand([(i, t.encode()) for i, t in rows_of(docs)])
 
 
+@pytest.mark.parametrize("joined", [64, 1 << 18])
+def test_suffix_dedup_many_small_runs(spark, monkeypatch, joined):
+    """A part that gets many short pieces of runs joins them, so the loser tree does not widen with the input."""
+    for name, value in (("_HOLD", 160), ("SORTED", 40 * suffix_dedup.WIDE), ("JOINED", joined)):
+        monkeypatch.setattr(suffix_dedup, name, value, raising=False)
+    merge = suffix_dedup.merge_runs
+
+    def bounded(runs, *rest):
+        assert len(runs) <= sum(r.n for r in runs) // joined + 1
+        return merge(runs, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "merge_runs", bounded)
+    rng = np.random.default_rng(9)
+    names = [f"w{i}é" for i in range(40)]
+    passages = [" ".join(rng.choice(names, 30)) for _ in range(12)]
+    rows = [(i, " ".join([*rng.choice(names, 20), passages[i % 12][i % 9 :], *rng.choice(names, 20), passages[i * 5 % 12]])) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert Counter(tuple(r) for r in suffix_dedup.digest(docs).collect()) == removed_by_hand([(i, t.encode()) for i, t in rows_of(docs)])
+
+
+def test_packed_pieces():
+    """Pieces of any sizes come back as they were, all at once."""
+    rng = np.random.default_rng(2)
+    for n, pieces in ((1, 1), (500, 1), (5_000, 900), (300, 300)):
+        cuts = np.append(np.sort(rng.choice(np.arange(1, n), pieces - 1, replace=False)), n)
+        cuts = np.append(0, cuts)
+        rk = rng.integers(-(2**63), 2**63 - 1, 40)[rng.integers(0, 40, n)]
+        gram, number = rng.integers(0, 2**64 - 1, n, np.uint64) & ~np.uint64(0xFFFF), rng.integers(-1, 2**31 - 1, n).astype(np.int32)
+        for doc in (rk // 7, None):
+            found = suffix_dedup.unpacked(suffix_dedup.packed(cuts, rk, doc, (gram, 2), (number, 0)), doc is not None, (np.uint64, 2), (np.int32, 0))
+            want = [rk, *([] if doc is None else [doc]), gram, number]
+            assert all((a == b).all() for a, b in zip(found, want, strict=True))
+
+
 def test_loser_tree():
     rng = np.random.default_rng(1)
     for k in (1, 5, 8):
